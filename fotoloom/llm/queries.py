@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing
+from . import decontamination, mixing, token_counts, token_output
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op5_decontamination": decontamination.op5_decontamination,
+    "op8_token_output": token_output.op8_token_output,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
