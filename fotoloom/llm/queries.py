@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, token_counts, token_output
+from . import decontamination, language_id, mixing, token_counts, token_output
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op5_decontamination": decontamination.op5_decontamination,
+    "op7_language_id": language_id.op7_language_id,
     "op8_token_output": token_output.op8_token_output,
     "op10_token_counts": token_counts.op10_token_counts,
 }
