@@ -43,11 +43,8 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     rank[n] = -1
     start = np.maximum.accumulate(np.where(head, index, 0))
     rank[order] = start
-    # a suffix of fewer than 8 bytes sorts like one that zeros follow; its length decides
     h = 8
-    short = np.arange(max(0, n - 8), n)
-    forced = np.isin(order, short)
-    while h < depth or forced.any():
+    while h < depth:
         # slots of groups that are not single
         single = head & np.append(head[1:], True)
         slots = np.flatnonzero(~single)
@@ -65,7 +62,6 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         start = np.maximum.accumulate(np.where(head, index, 0))
         rank[order[slots]] = start[slots]
         h *= 2
-        forced = np.empty(0, bool)
     return order
 
 
