@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -48,8 +49,10 @@ def release(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(3):  # the cleaner meets a shuffle only after the plans that hold it are gone
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
