@@ -73,9 +73,12 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold_percent: in
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """``docs`` without the documents that contain a benchmark item."""
-    leaked = stage(contained_items(docs, benchmark, threshold_percent).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")[0]
-    return docs.join(bounded_broadcast(leaked, 1_000_000), F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    """``docs`` without the rows whose text contains a benchmark item."""
+    # rows are told apart by id and text, so that a null or repeated id takes no clean row with it
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text"))
+    leaked = contained_items(docs.select(key.alias("doc_id"), "text"), benchmark, threshold_percent)
+    leaked = stage(leaked.select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")[0]
+    return docs.join(bounded_broadcast(leaked, 1_000_000), key == F.col("_leaked"), "left_anti")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

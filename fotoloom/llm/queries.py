@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, mixing, substring_dedup, suffix_dedup, token_counts, token_output, topk_search, warc
+from . import decontamination, jaccard_join, language_id, mixing, substring_dedup, suffix_dedup, token_counts, token_output, topk_search, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_topk_search": topk_search.op4_topk_search,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_warc": warc.op6_warc,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
+    "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op4_topk_search": topk_search.OP4_SQL,
     "op5_decontamination": decontamination.OP5_SQL,
 }
