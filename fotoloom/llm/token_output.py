@@ -45,7 +45,7 @@ _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pattern never joins across white space, save for one leading space; these units
 #: can therefore be encoded one by one.
 _UNITS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 250_000
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,8 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, _UNITS.findall(text)))
 
 
-_encoders: dict[int, Encoder] = {}
+#: The encoder of this worker, by the path its ranks were read from.
+_encoders: dict[str, Encoder] = {}
 
 
 def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -114,10 +115,12 @@ def sequences(docs: DataFrame, cfg: OutputConfig = OutputConfig(), ranks_path: s
     within range partitions of whole shards. ``tokens`` is the record without its line end."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    bcid = id(ranks)
 
     def tokenize(batches):
-        encoder = _encoders.get(bcid) or _encoders.setdefault(bcid, Encoder(ranks.value))
+        if ranks_path not in _encoders:
+            _encoders.clear()
+            _encoders[ranks_path] = Encoder(ranks.value)
+        encoder = _encoders[ranks_path]
         end, done = np.asarray([cfg.end_of_text], dtype="<u2").tobytes(), 0
         for batch in byte_chunks(batches, 8 << 20):
             parts = batch.column("part").to_pylist()
