@@ -17,8 +17,10 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLE_SQL = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op4_topk_search": topk_search.OP4_SQL,
     "op5_decontamination": decontamination.OP5_SQL,
+    "op9_substring_dedup": substring_dedup.OP9_SQL,
 }

@@ -97,3 +97,23 @@ def dedup(docs: DataFrame, cfg: RepeatConfig = CONFIG) -> DataFrame:
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+OP9_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)
+), gone AS (
+  SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first_doc FROM windows) WHERE first_doc < doc_id
+), marks AS (
+  SELECT doc_id, i, max(g) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_start
+  FROM (SELECT w.doc_id, w.i, CASE WHEN g.i IS NOT NULL THEN g.i END AS g
+        FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i FROM words) w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i)
+), kept AS (
+  SELECT m.doc_id, count(*) AS n, string_agg(words.w[m.i], ' ' ORDER BY m.i) AS t
+  FROM marks m JOIN words ON m.doc_id = words.doc_id WHERE m.last_start IS NULL OR m.i - m.last_start >= 50 GROUP BY m.doc_id
+)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
+"""

@@ -149,3 +149,29 @@ def dedup(docs: DataFrame, cfg: RepeatConfig = CONFIG) -> DataFrame:
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+OP1_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), windows AS (
+  SELECT doc_id, i, md5_number(x[2 * i - 1:2 * i + 198]) AS h
+  FROM (SELECT doc_id, x, unnest(range(1, len(x) // 2 - 98)) AS i FROM texts)
+), gone AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 99 AS b
+  FROM (SELECT doc_id, i, sum(CASE WHEN i - before <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g
+        FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone))
+  GROUP BY doc_id, g
+), cuts AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from FROM spans
+), sums AS (
+  SELECT c.doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans,
+         string_agg(t.x[2 * kept_from + 1:2 * (a - 1)], '' ORDER BY a) || any_value(t.x)[2 * max(b) + 1:] AS kept
+  FROM cuts c JOIN texts t ON c.doc_id = t.doc_id GROUP BY c.doc_id
+)
+SELECT t.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM texts t LEFT JOIN sums s ON t.doc_id = s.doc_id
+"""

@@ -90,7 +90,8 @@ def search_shard(q_ids, queries, bound, ids, vectors, k: int, leaf_rows: int):
     ``bound``: a score that k rows elsewhere are known to reach, or -inf; rows below it may be left out.
     """
     n, dim = vectors.shape
-    exact = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(dim, 1) < 2.0**53
+    if float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(dim, 1) >= 2.0**53:
+        return _search_large(q_ids, queries, ids, vectors, k)  # doubles can't hold these products
     points, probes = vectors.astype(np.float64), queries.astype(np.float64)
     tree = BallTree(points, leaf_rows)
     length = np.sqrt((probes**2).sum(axis=1))
@@ -122,7 +123,7 @@ def search_shard(q_ids, queries, bound, ids, vectors, k: int, leaf_rows: int):
             lo, hi = tree.span[leaves[one]]
             rows = tree.order[lo:hi]
             who = going[leaf[going] == one]
-            score = probes[who] @ points[rows].T if exact else (queries[who].astype(object) @ vectors[rows].astype(object).T).astype(np.float64)
+            score = probes[who] @ points[rows].T
             score = np.where(ids[rows][None, :] == q_ids[who][:, None], -np.inf, score)
             some = (score >= kth[who][:, None]).any(axis=1) & (score.max(axis=1) > -np.inf)
             who, score = who[some], score[some]
@@ -137,6 +138,18 @@ def search_shard(q_ids, queries, bound, ids, vectors, k: int, leaf_rows: int):
     return row, best_i[row, col], best_s[row, col].astype(np.int64)
 
 
+def _search_large(q_ids, queries, ids, vectors, k: int):
+    """The same by whole numbers of any size; products beyond 64 bits stop at its ends."""
+    row, got, score = [], [], []
+    for i, (q_id, q) in enumerate(zip(q_ids.tolist(), queries.tolist())):
+        products = [(-sum(a * b for a, b in zip(q, v)), j) for j, v in zip(ids.tolist(), vectors.tolist()) if j != q_id]
+        for s, j in sorted(products)[:k]:
+            row.append(i)
+            got.append(j)
+            score.append(min(max(-s, -(1 << 63)), (1 << 63) - 1))
+    return np.asarray(row, np.int64), np.asarray(got, np.int64), np.asarray(score, np.int64)
+
+
 def _pass(queries: DataFrame, vectors: DataFrame, cfg: SearchConfig) -> DataFrame:
     """(query_id, vec_id, score) from tasks of one (dim, shard, block) each."""
     k, leaf_rows = cfg.k, cfg.leaf_rows
@@ -144,35 +157,34 @@ def _pass(queries: DataFrame, vectors: DataFrame, cfg: SearchConfig) -> DataFram
     def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        q, v = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy())
+        q, v = np.stack(left["query"].to_numpy()), np.stack(right["vector"].to_numpy())
         q_ids = left["query_id"].to_numpy()
         row, ids, score = search_shard(q_ids, q.astype(np.int64), left["bound"].to_numpy(), right["vec_id"].to_numpy(), v.astype(np.int64), k, leaf_rows)
         return pd.DataFrame({"query_id": q_ids[row], "vec_id": ids, "score": score})
 
-    keys = ["dim", "shard", "block"]
-    return queries.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInPandas(task, "query_id long, vec_id long, score long")
+    return queries.groupBy("query_dim", "query_shard", "query_block").cogroup(vectors.groupBy("dim", "shard", "block")).applyInPandas(task, "query_id long, vec_id long, score long")
 
 
 def top_k(embeddings: DataFrame, is_query: Column, cfg: SearchConfig = SearchConfig()) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``embeddings`` where ``is_query`` holds."""
     vectors = stage(integer_vectors(embeddings, cfg.scale), "topk-vectors")[0]
-    picked = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), "vector", "dim").dropDuplicates(["query_id", "vector"])
+    picked = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.col("dim").alias("query_dim")).dropDuplicates(["query_id", "query"])
     n_all, n_queries = vectors.count(), vectors.where(is_query).count()
     n_shards, n_blocks = max(1, -(-n_all // cfg.shard_rows)), max(1, -(-n_queries // cfg.block_rows))
 
     def numbers(n: int) -> Column:
         return F.sequence(F.lit(0), F.lit(n - 1))
 
-    blocked = picked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(n_blocks)).cast("int"))
+    blocked = picked.withColumn("query_block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(n_blocks)).cast("int"))
     home = F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(n_shards)).cast("int")
     sharded = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector", F.lit(2)), F.lit(n_shards)).cast("int")).withColumn("block", F.explode(numbers(n_blocks)))
     never = F.lit(float("-inf"))
-    first = stage(_pass(blocked.withColumn("shard", home).withColumn("bound", never), sharded, cfg), "topk-home")[0]
+    first = stage(_pass(blocked.withColumn("query_shard", home).withColumn("bound", never), sharded, cfg), "topk-home")[0]
     kth = first.groupBy("query_id").agg(F.when(F.count("*") >= cfg.k, F.min("score")).otherwise(None).cast("double").alias("bound"))
     found = first
     if n_shards > 1:
         away = blocked.withColumn("home", home).join(kth, "query_id", "left").withColumn("bound", F.coalesce("bound", never))
-        away = away.withColumn("shard", F.explode(numbers(n_shards))).where("shard <> home").drop("home")
+        away = away.withColumn("query_shard", F.explode(numbers(n_shards))).where("query_shard <> home").drop("home")
         found = first.unionByName(_pass(away, sharded, cfg))
     # at most k rows a query and shard come here
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
