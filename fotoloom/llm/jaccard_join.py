@@ -13,9 +13,10 @@ Groups. In the list of a shingle, sets of the same size with that shingle at the
 their prefix are one group. Group pairs that cannot share enough (size and position bounds) are
 dropped before their members are looked at.
 
-Links. All members' pairs of a short list are verified exactly. In a long list each set is
-first verified against the leader of its size band and against a partner drawn by hash; sets that
-meet in a component are done, and a second round verifies all pairs of long lists whose sets are
+Links. Pairs whose prefixes share too little are dropped by a bound that loses nothing; the rest are
+verified exactly. All members' pairs of a short list are looked at. In a long list each set is
+first compared with the leader of its size band and against a partner drawn by hash; sets that
+meet in a component are done, and a second round takes all pairs of long lists whose sets are
 still in different components. A component is thus exact without expanding a group of copies
 into all its pairs. Verification sends each pair's texts to a (leader, salt) partition.
 
@@ -24,7 +25,7 @@ their own component; rows that repeat a doc_id have a result each; a null doc_id
 component's id unless all its members' are null. Other columns are ignored.
 
 Scale: per document one row with its prefix (a quarter of its hashes) is shuffled twice; pairs and their texts
-follow the number of near copies. The driver reads the counters (a fixed megabyte) and counts.
+follow the number of near copies. The driver reads the counters (a few fixed megabytes) and counts.
 """
 
 from __future__ import annotations
@@ -38,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .repeats import NULL_ID, WordUnits, gram_hashes
+from .repeats import NULL_ID, gram_hashes, mix
 from .shared import bounded_broadcast, byte_chunks, release, stage
 
 SHINGLE = 5
-COUNTERS = 1 << 18
+COUNTERS = 1 << 20
 _BLOCK = 4096
 
 
@@ -54,18 +55,67 @@ class JoinConfig:
     draw_every: int = 4
 
 
-class Shingler:
-    def __init__(self):
-        self.words = WordUnits()
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+#: A random number for each byte, and powers of an odd base: a word's hash is the sum of number x power.
+_NUMBER = np.random.default_rng(41).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        """The sorted distinct shingle hashes of a text."""
-        units = self.words.of(text.lower()) if text else ()
-        if len(units) >= SHINGLE:
-            return np.unique(gram_hashes(units, SHINGLE))
-        if len(units):
-            return np.asarray([xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()), seed=1)], np.uint64)
-        return np.empty(0, np.uint64)
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    size, step = 1, np.uint64(base)
+    while size < n:  # doubling: out[size:2 size] = out[:size] * base**size
+        m = min(size, n - size)
+        out[size : size + m] = out[:m] * step
+        step = np.uint64(int(step) ** 2 & 0xFFFFFFFFFFFFFFFF)
+        size *= 2
+    return out
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z lower-cased, and the number of words of each text.
+
+    One pass over the joined bytes: a word's hash is a difference of prefix sums, moved to place 0.
+    """
+    data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    word = ~_SPACE[data]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_NUMBER[data] * _powers(_BASE, len(data)), out=sums[1:])
+    undo = _powers(pow(_BASE, -1, 1 << 64), len(data))
+    h = (sums[end] - sums[begin]) * undo[begin]
+    h = mix(h, (end - begin).astype(np.uint64))
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    return h, np.diff(np.concatenate([[0], np.searchsorted(begin, bounds)]))
+
+
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):  # some megabytes at a time
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or b"") < 4 << 20):
+            size += len(texts[end] or b"")
+            end += 1
+        h, counts = word_hashes([t or b"" for t in texts[at:end]])
+        grams = gram_hashes(h, SHINGLE)
+        first = 0
+        for n in counts.tolist():
+            if n >= SHINGLE:
+                g = np.sort(grams[first : first + n - SHINGLE + 1])
+                out.append(g[np.concatenate([[True], g[1:] != g[:-1]])])
+            elif n:  # the whole sequence is one shingle
+                out.append(np.asarray([xxhash.xxh3_64_intdigest(h[first : first + n].tobytes(), seed=1)], np.uint64))
+            else:
+                out.append(np.empty(0, np.uint64))
+            first += n
+        at = end
+    return out
 
 
 def need(n1, n2):
@@ -84,11 +134,10 @@ def shingle_counters(docs: DataFrame) -> np.ndarray:
     """How often shingles fall on each of ``COUNTERS`` counters, over all documents."""
 
     def count(batches):
-        shingler, total = Shingler(), np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.int32)
         for batch in byte_chunks(batches, 8 << 20):
-            hashes = [shingler.of(t) for t in batch.column("text").to_pylist()]
-            if hashes:
-                total += np.bincount((np.concatenate(hashes) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            hashes = shingle_sets(batch.column("text").to_pylist())
+            total += np.bincount((np.concatenate(hashes) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
         if total.any():
             blocks = [total[i : i + _BLOCK].tobytes() for i in range(0, COUNTERS, _BLOCK)]
             yield pa.record_batch([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
@@ -97,7 +146,7 @@ def shingle_counters(docs: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, v in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(v, np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(v, np.int32).astype(np.int64)
         if sums:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "counts"])
 
@@ -115,11 +164,10 @@ def document_sets(docs: DataFrame, counters: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def scan(batches):
-        shingler, levels = Shingler(), shared.value
+        levels = shared.value
         for batch in byte_chunks(batches, 8 << 20):
             sizes, digests, prefixes = [], [], []
-            for text in batch.column("text").to_pylist():
-                h = shingler.of(text)
+            for h in shingle_sets(batch.column("text").to_pylist()):
                 n = len(h)
                 sizes.append(n)
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
@@ -238,6 +286,20 @@ def unfinished_pairs(members: DataFrame) -> DataFrame:
     return members.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(stream, _PAIR).distinct()
 
 
+def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose prefixes share enough that the sets still can.
+
+    Of two sets let a's prefix end first in the global order. All that both share up to there lies in both prefixes;
+    beyond it a has only ``n - |prefix|`` shingles left. So the sets share at most what the prefixes share
+    plus the longer of the two rests.
+    """
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias("n" + c), F.col("prefix").alias("p" + c))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    rest = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+    most = F.size(F.array_intersect("pa", "pb")) + rest
+    return both.where(F.floor((3 * (F.col("na") + F.col("nb")) + 6) / 7) <= most).select("a", "b")
+
+
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, cfg: JoinConfig) -> DataFrame:
     """(a, b, linked) for pairs of class ids, by the exact size of the intersection."""
     # the end that more pairs name leads, so that a text is sent to few places
@@ -253,11 +315,11 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, cfg: JoinConfi
     rows = _numbered(docs).join(places, "rk").select("text", "cid", F.explode("places").alias("p")).select("text", "cid", "p.*")
 
     def check(batches):
-        shingler, now, lead = Shingler(), None, None
+        now, lead = None, None
         for batch in byte_chunks(batches, 8 << 20):
             a, b, linked = [], [], []
-            for text, cid, leader, salt, role in zip(*(batch.column(c).to_pylist() for c in ("text", "cid", "leader", "salt", "role"))):
-                h = shingler.of(text)
+            sets = shingle_sets(batch.column("text").to_pylist())
+            for h, cid, leader, salt, role in zip(sets, *(batch.column(c).to_pylist() for c in ("cid", "leader", "salt", "role"))):
                 if role == 0:
                     now, lead = (leader, salt), h
                     continue
@@ -292,12 +354,15 @@ def _placed(docs: DataFrame, cfg: JoinConfig) -> tuple[DataFrame, DataFrame]:
     first, p_first = stage(candidates(postings, cfg), "candidates")
     release(spark)
     pairs, p_pairs = stage(first.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
-    checked, p_checked = stage(verify(pairs, classes, docs, cfg), "checked")
+    likely, p_likely = stage(plausible(pairs, classes), "likely")
+    release(spark)
+    checked, p_checked = stage(verify(likely, classes, docs, cfg), "checked")
     release(spark)
     labels = components(checked.where("linked"))
     members = first.where("token IS NOT NULL").select("token", "cid", "n", "pos")
     placed = members.join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
-    more, p_more = stage(unfinished_pairs(placed).join(pairs, ["a", "b"], "left_anti"), "pairs-2")
+    more, p_more = stage(plausible(unfinished_pairs(placed).join(pairs, ["a", "b"], "left_anti"), classes), "pairs-2")
+    release(spark)
     if not more.isEmpty():
         again = stage(verify(more, classes, docs, cfg), "checked-2")[0]
         labels = components(checked.unionByName(again).where("linked").select("a", "b"))
@@ -305,7 +370,7 @@ def _placed(docs: DataFrame, cfg: JoinConfig) -> tuple[DataFrame, DataFrame]:
     lowest = own.groupBy("label").agg(F.min("least").alias("lowest"))
     of_class = own.join(lowest, "label").select("d1", "d2", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.rk").alias("keeper"))
     of_class = stage(of_class, "components")[0]
-    release(spark, p_first, p_pairs, p_checked, p_more)
+    release(spark, p_first, p_pairs, p_likely, p_checked, p_more)
     return sets, of_class
 
 
