@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.components import components
 from .repeats import NULL_ID, gram_hashes, mix
 from .shared import bounded_broadcast, byte_chunks, release, stage
 

@@ -7,17 +7,15 @@ a lost executor never takes the only copy of anything with it.
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
-import time
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..staging import bounded_broadcast, release, stage
+
+__all__ = ["WORD", "ascii_lower", "bounded_broadcast", "byte_chunks", "release", "stage"]
+
 #: A word: a run of characters other than space, tab, LF, VT, FF and CR.
 #: ``bytes.split()`` splits at exactly these characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,40 +28,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
-def stage_root(spark: SparkSession) -> str:
-    """The shared folder; a folder of our own only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or os.path.join(tempfile.gettempdir(), "checkpoints")
-
-
-def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back, cutting its lineage."""
-    spark = df.sparkSession
-    path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def release(spark: SparkSession, *paths: str) -> None:
-    """Delete staged tables nobody reads any more and let Spark drop dead shuffles."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    for _ in range(3):  # the cleaner meets a shuffle only after the plans that hold it are gone
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.4)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only if ``df`` was counted and has at most ``max_rows`` rows.
-
-    ``df`` should be cheap to read (a staged table). Beyond the bound Spark is left
-    to join by shuffle.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def byte_chunks(batches, limit: int):
     """Cut record batches so that their first binary column holds about ``limit`` bytes."""
     for batch in batches:

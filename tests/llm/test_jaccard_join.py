@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from fotoloom.llm.components import components
+from fotoloom.operators.components import components
 from fotoloom.llm.jaccard_join import JoinConfig, drop_near_duplicates, near_duplicate_components
 
 
