@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import release, stage
+from ..staging import drop, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,10 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("root"))
         new, new_path = stage(step.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("root", "label")).alias("label")), "labels")
         done = new.where("was <> label").isEmpty()
-        release(spark, path)
+        drop(spark, path)
         labels, path = new.select("id", "label"), new_path
         if done:
-            release(spark, p_edges)
+            drop(spark, p_edges)
             return labels
 
 

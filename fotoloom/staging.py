@@ -27,11 +27,16 @@ def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def release(spark: SparkSession, *paths: str) -> None:
-    """Delete staged tables nobody reads any more and let Spark drop dead shuffles."""
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables nobody reads any more."""
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables and let Spark drop the files of shuffles that are dead."""
+    drop(spark, *paths)
     for _ in range(3):  # the cleaner meets a shuffle only after the plans that hold it are gone
         gc.collect()
         spark._jvm.System.gc()
