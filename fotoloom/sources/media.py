@@ -42,7 +42,8 @@ def gray_rasters(spark: SparkSession, paths: list[str], cfg: FrameConfig = Frame
 
 def image_hashes(rasters: DataFrame, resolution: int) -> DataFrame:
     """Adds ``phash`` (16 hex digits) for rasters of any resolution."""
-    return rasters.withColumn("phash", hash_hex(dct_udf(resolution)(F.col("gray"))))
+    blocks = rasters.withColumn("_dct", dct_udf(resolution)(F.col("gray")))
+    return blocks.withColumn("phash", hash_hex(F.col("_dct"))).drop("_dct")
 
 
 def frame_time(line: Column) -> Column:
