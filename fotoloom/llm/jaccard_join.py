@@ -15,7 +15,7 @@ dropped before their members are looked at.
 
 Links. Pairs whose prefixes share too little are dropped by a bound that loses nothing; the rest are
 verified exactly. All members' pairs of a short list are looked at. In a long list each set is
-first compared with the leader of its size band and against a partner drawn by hash; sets that
+first compared with the leaders of its size band (sets with few rare shingles) and, for some shingles, a partner drawn by hash; sets that
 meet in a component are done, and a second round takes all pairs of long lists whose sets are
 still in different components. A component is thus exact without expanding a group of copies
 into all its pairs. Verification sends each pair's texts to a (leader, salt) partition.
@@ -43,16 +43,18 @@ from .repeats import NULL_ID, gram_hashes, mix
 from .shared import bounded_broadcast, byte_chunks, release, stage
 
 SHINGLE = 5
-COUNTERS = 1 << 20
-_BLOCK = 4096
+COUNTERS = 1 << 24
+_BLOCK = 1 << 16
 
 
 @dataclass(frozen=True)
 class JoinConfig:
     short_list: int = 8
     partners_of_salt: int = 128
+    #: so many leaders of each size band of a long list
+    leaders: int = 2
     #: one in so many shingles of long lists draws partners by hash
-    draw_every: int = 4
+    draw_every: int = 32
 
 
 _SPACE = np.zeros(256, bool)
@@ -131,13 +133,17 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def shingle_counters(docs: DataFrame) -> np.ndarray:
-    """How often shingles fall on each of ``COUNTERS`` counters, over all documents."""
+    """How often shingles fall on each of ``COUNTERS`` counters, over all documents.
+
+    A task counts to 255 at most, which is enough to tell rare from frequent.
+    """
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int32)
+        total = np.zeros(COUNTERS, np.uint8)
         for batch in byte_chunks(batches, 8 << 20):
-            hashes = shingle_sets(batch.column("text").to_pylist())
-            total += np.bincount((np.concatenate(hashes) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
+            slots = (np.concatenate(shingle_sets(batch.column("text").to_pylist())) & np.uint64(COUNTERS - 1)).astype(np.int32)
+            slot, n = np.unique(slots, return_counts=True)
+            total[slot] = np.minimum(total[slot] + n, 255)
         if total.any():
             blocks = [total[i : i + _BLOCK].tobytes() for i in range(0, COUNTERS, _BLOCK)]
             yield pa.record_batch([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
@@ -146,21 +152,22 @@ def shingle_counters(docs: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, v in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(v, np.int32).astype(np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(v, np.uint8).astype(np.int32)
         if sums:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "counts"])
 
     kind = "block int, counts binary"
     rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).collect()
-    out = np.zeros(COUNTERS, np.int64)
+    out = np.zeros(COUNTERS, np.int32)
     for r in rows:
-        out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["counts"], np.int64)
+        out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["counts"], np.int32)
     return out
 
 
 def document_sets(docs: DataFrame, counters: np.ndarray) -> DataFrame:
     """(rk, doc_id, n, d1, d2, prefix): size, 128-bit digest and ordered prefix of each document's set."""
-    level = np.clip(np.floor(np.log2(np.maximum(counters, 1) / max(2.0 * counters.mean(), 1.0))) + 1, 0, 60).astype(np.uint8)
+    usual = max(2.0, 1.5 * float(counters.mean()))  # what rare shingles that share a counter add up to
+    level = np.clip(np.floor(np.log2(np.maximum(counters, 1) / np.float32(usual))) + 1, 0, 60).astype(np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def scan(batches):
@@ -235,15 +242,16 @@ def candidates(postings: DataFrame, cfg: JoinConfig) -> DataFrame:
             for g in long:
                 lo, hi = begins[g], begins[g] + sizes[g]
                 c, m, p = cid[lo:hi], n[lo:hi], pos[lo:hi]  # in the order of (n, cid)
-                leader = np.zeros(len(c), np.int64)
                 at = 0
-                while at < len(c):  # a band: sizes that the leader's can still link to
-                    end = int(np.searchsorted(m, m[at] * 4 // 3, side="right"))
-                    leader[at:end] = at
-                    at = max(end, at + 1)
-                ok = _fits(m, p, m[leader], p[leader])
-                a_all.append(c[ok])
-                b_all.append(c[leader[ok]])
+                while at < len(c):  # a band: sizes that can all link to each other
+                    end = max(int(np.searchsorted(m, m[at] * 4 // 3, side="right")), at + 1)
+                    # sets with few rare shingles before this one are the middle of a group of near copies
+                    for lead in at + np.lexsort((c[at:end], p[at:end]))[: cfg.leaders]:
+                        x = np.arange(at, end)
+                        ok = _fits(m[x], p[x], m[lead], p[lead])
+                        a_all.append(c[x[ok]])
+                        b_all.append(np.full(int(ok.sum()), c[lead]))
+                    at = end
                 if (int(token[lo]) >> 7) % cfg.draw_every == 0:
                     mixed = np.argsort((c ^ token[lo]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
                     x, y = mixed[1:], mixed[:-1]
@@ -261,8 +269,13 @@ def candidates(postings: DataFrame, cfg: JoinConfig) -> DataFrame:
 def unfinished_pairs(members: DataFrame) -> DataFrame:
     """Second round: pairs of long lists whose members are in different components."""
 
+    def pack(found):
+        both = np.unique(np.concatenate(found), axis=0)  # lists of one passage have the same members
+        return pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
     def stream(batches):
         for token, cid, n, pos, comp in _list_stream(batches, ("token", "cid", "n", "pos", "comp")):
+            found, size = [], 0
             begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             for lo, hi in zip(begins, np.append(begins[1:], len(token))):
                 c, comps = cid[lo:hi], comp[lo:hi]
@@ -280,8 +293,13 @@ def unfinished_pairs(members: DataFrame) -> DataFrame:
                     for x in by[edge[i] : edge[i + 1]]:
                         y = others[comps[others] != comps[x]]
                         if len(y):
-                            a, b = np.minimum(c[x], c[y]), np.maximum(c[x], c[y])
-                            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+                            found.append(np.stack([np.minimum(c[x], c[y]), np.maximum(c[x], c[y])], axis=1))
+                            size += len(y)
+                            if size > 1 << 20:
+                                yield pack(found)
+                                found, size = [], 0
+            if found:
+                yield pack(found)
 
     return members.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(stream, _PAIR).distinct()
 
