@@ -79,6 +79,20 @@ def range_search(queries: DataFrame, files: DataFrame, max_distance: int) -> Dat
     return found.where(F.col("distance") <= max_distance).select("query_id", "file_path", "distance").distinct()
 
 
+def in_blocks(rows: DataFrame, queries: DataFrame, key: str, condition: Column) -> DataFrame:
+    """``rows`` joined with a stated query set by any condition, in blocks of about ``MAX_BROADCAST_QUERIES`` at most.
+
+    The queries are counted; each block, a hash range of ``key``, is small enough to broadcast.
+    """
+    blocks = max(1, -(-queries.count() // MAX_BROADCAST_QUERIES))
+    out = None
+    for b in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        part = rows.join(F.broadcast(some), condition)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def knn(queries: DataFrame, files: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, file_path, distance): the k nearest other files of a stated set of queries, ties by path.
 
@@ -88,17 +102,9 @@ def knn(queries: DataFrame, files: DataFrame, k: int) -> DataFrame:
     """
     q = queries.select(F.col("file_path").alias("query_id"), F.col("bits").alias("q"))
     f = files.select("file_path", F.col("bits").alias("p"))
-    blocks = max(1, -(-queries.count() // MAX_BROADCAST_QUERIES))
     order = Window.partitionBy("query_id").orderBy("distance", "file_path")
-    parts = []
-    for b in range(blocks):
-        some = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = f.join(F.broadcast(some), F.col("query_id") != F.col("file_path"))
-        parts.append(pairs.select("query_id", "file_path", hamming(F.col("q"), F.col("p")).alias("distance")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    ranked = every.withColumn("rank", F.row_number().over(order))
+    every = in_blocks(f, q, "query_id", F.col("query_id") != F.col("file_path"))
+    ranked = every.select("query_id", "file_path", hamming(F.col("q"), F.col("p")).alias("distance")).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "file_path", "distance")
 
 

@@ -7,6 +7,7 @@ import html
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
 from .template import two_decimals
 
 SETS_PER_PAGE = 1000
@@ -16,10 +17,11 @@ def numbered_sets(placed: DataFrame) -> DataFrame:
     """(set_id, set_no, page): sets numbered from 0 in the order of set_id.
 
     A global order without a global sort task: range partitions are counted, and the counts
-    (one row each) give every partition its first number.
+    (one row each) give every partition its first number. They are staged, so that a partition keeps
+    its number when it is read again.
     """
     sets = placed.where("set_id IS NOT NULL").select("set_id").distinct().repartitionByRange("set_id").sortWithinPartitions("set_id")
-    tagged = sets.withColumn("_p", F.spark_partition_id())
+    tagged = stage(sets.withColumn("_p", F.spark_partition_id()), "report-sets")[0]
     counts = tagged.groupBy("_p").count()
     before = counts.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
     inside = tagged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("set_id")) - 1)

@@ -168,3 +168,50 @@ def test_streams(spark, tmp_path):
     counts = gather.format_counts(spark.readStream.schema(kind).parquet(src).withColumn("ext", F.lit("jpg"))).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     counts.awaitTermination(120)
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 4
+
+
+def jpeg(model=b"Cam\0", taken=b"2023:10:26 15:30:00\0"):
+    import struct
+
+    data = b""
+    ifd = lambda entries, at: struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHI", t, k, n) + v for t, k, n, v in entries) + b"\0\0\0\0"
+    texts = 8 + 2 + 3 * 12 + 4  # after the first directory
+    exif_at = texts + len(taken)
+    gps_at = exif_at + 2 + 12 + 4
+    rat = gps_at + 2 + 4 * 12 + 4
+    first = ifd([(0x0110, 2, len(model), model.ljust(4, b"\0")), (0x8769, 4, 1, struct.pack("<I", exif_at)), (0x8825, 4, 1, struct.pack("<I", gps_at))], 8)
+    exif = ifd([(0x9003, 2, len(taken), struct.pack("<I", texts))], exif_at)
+    gps = ifd([(1, 2, 2, b"N\0\0\0"), (2, 5, 3, struct.pack("<I", rat)), (3, 2, 2, b"W\0\0\0"), (4, 5, 3, struct.pack("<I", rat))], gps_at)
+    data = b"II*\0\x08\0\0\0" + first + taken + exif + gps + struct.pack("<6I", 40, 1, 30, 1, 0, 1)
+    app1 = b"Exif\0\0" + data
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(app1) + 2) + app1 + b"\xff\xc0" + struct.pack(">HBHH", 9, 8, 480, 640) + b"\0\0" + b"\xff\xda\0\0"
+
+
+def test_tags():
+    from fotoloom.sources.exif import read_tags
+
+    assert read_tags(jpeg()) == {"Model": "Cam", "DateTimeOriginal": "2023:10:26 15:30:00", "GPSLatitude": "40.5", "GPSLongitude": "-40.5", "ImageWidth": "640", "ImageHeight": "480"}
+    assert read_tags(None) == read_tags(b"junk") == read_tags(b"\xff\xd8\xff") == read_tags(b"II*\0") == {}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from fotoloom.__main__ import main
+
+    src, out = tmp_path / "src", tmp_path / "out"
+    src.mkdir()
+    import struct
+    import zlib
+
+    def png(seed, side=32):
+        raw = b"".join(b"\0" + bytes((x * seed + y * y * 13) % 256 for x in range(side)) for y in range(side))
+        chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", side, side, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+    for name, seed in (("a.png", 7), ("b.png", 7), ("c.png", 3)):
+        (src / name).write_bytes(png(seed))
+    (src / "bad.png").write_bytes(b"no image")
+    (src / "note.txt").write_bytes(b"x")
+    code = main([str(src), str(out), "-d", str(tmp_path / "dup"), "-e", str(tmp_path / "err"), "-r", "16", "-F", "{TYPE}/{NAME}{EXT}", "--debug", str(tmp_path / "report")])
+    assert code == 0 and sorted(p.name for p in (out / "Image").iterdir()) == ["a.png", "c.png"]
+    assert [p.name for p in (tmp_path / "dup/a").iterdir()] == ["b.png"] and [p.name for p in (tmp_path / "err").iterdir()] == ["bad.png"]
+    assert (src / "a.png").exists() and (tmp_path / "report/page=0").is_dir()
