@@ -137,3 +137,14 @@ def test_score(spark):
     df = spark.createDataFrame([s for s, _ in SCORES], SCORED.replace("image_date timestamp", "image_date string")).withColumn("image_date", F.col("image_date").cast("timestamp"))
     for (_, want), r in zip(SCORES, df.select(metadata.score().alias("s")).collect()):
         assert math.isclose(r.s, want, abs_tol=1e-5)
+
+
+def test_sql_functions(spark):
+    from fotoloom.functions.sql import register
+
+    assert "hamming" in register(spark)
+    row = spark.sql(
+        "SELECT hamming(phash_bits('ffffffffffffffff'), phash_bits('fffffffffffffffe')), image_similarity(0, NULL), lsh_keys('abcdef1234567890'), lsh_keys('ab'), file_extension('x/a.JPG'), "
+        "file_stem('x/.jpg'), file_stem('x/a.b.c'), media_type('a.PNG'), media_type('a.gif'), media_type('a.mkv'), CAST(exif_date('2023:10:26 15:30:00') AS STRING), kth_smallest(array(3D, 1D, 2D), 1), kth_smallest(array(1D), 4)"
+    ).first()
+    assert tuple(row) == (1, 0.0, ["abcd", "ef12", "3456", "7890"], None, "JPG", ".jpg", "a.b", 1, 0, None, "2023-10-26 15:30:00", 2.0, None)
