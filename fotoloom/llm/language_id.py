@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .shared import byte_chunks
 
 UNIT_BYTES = 32
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 UNDETERMINED = "und"
 
 
@@ -262,12 +262,13 @@ def classify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         if name not in _predictors:
             _predictors.clear()
             _predictors[name] = Predictor(shared.value)
-        for batch in byte_chunks(batches, 4 << 20):
-            langs, scores = _predictors[name].predict(batch.column("text").to_pylist())
+        for batch in byte_chunks(batches, 2 << 20, "doc", "text"):
+            texts = pa.compute.struct_field(batch.column("doc"), "text").cast(pa.binary())
+            langs, scores = _predictors[name].predict(texts.to_pylist())
             yield pa.record_batch([batch.column("doc"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc", "lang_pred", "score"])
 
     docs = docs.drop("lang_pred", "score")
-    packed = docs.select(F.col("text").cast("binary").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     kind = packed.schema["doc"].dataType.simpleString()
     out = packed.mapInArrow(run, f"doc {kind}, lang_pred string, score double")
     return out.select("doc.*", "lang_pred", "score")

@@ -28,17 +28,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
-def byte_chunks(batches, limit: int):
-    """Cut record batches so that their first binary column holds about ``limit`` bytes."""
+def byte_chunks(batches, limit: int, column: str | None = None, field: str | None = None):
+    """Cut record batches so that a column (the first binary one by default) holds about ``limit`` bytes.
+
+    ``field``: of a struct column, the field that counts.
+    """
     for batch in batches:
-        n = batch.num_rows
-        at = next((i for i, f in enumerate(batch.schema) if pa.types.is_binary(f.type) or pa.types.is_large_binary(f.type)), None)
-        if n == 0:
+        if batch.num_rows == 0:
             continue
-        if at is None:
+        if column is None:
+            at = next((i for i, f in enumerate(batch.schema) if pa.types.is_binary(f.type) or pa.types.is_large_binary(f.type)), None)
+            counted = None if at is None else batch.column(at)
+        else:
+            counted = batch.column(column) if field is None else batch.column(column).field(field)
+        if counted is None:
             yield batch
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist()
+        sizes = pa.compute.fill_null(pa.compute.binary_length(counted), 0).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
             if total and total + size > limit:
