@@ -135,7 +135,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def shingle_counters(docs: DataFrame) -> np.ndarray:
     """How often shingles fall on each of ``COUNTERS`` counters, over all documents.
 
-    A task counts to 255 at most, which is enough to tell rare from frequent.
+    A task counts to 255 at most, which is enough to tell rare from frequent; a total ``n`` comes
+    back as the byte ``8 log2(1 + n)``, so that the driver reads 16 MB at any size.
     """
 
     def count(batches):
@@ -154,21 +155,23 @@ def shingle_counters(docs: DataFrame) -> np.ndarray:
             for k, v in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
                 sums[k] = sums.get(k, 0) + np.frombuffer(v, np.uint8).astype(np.int32)
         if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "counts"])
+            codes = [np.minimum(np.round(8 * np.log2(1 + v)), 255).astype(np.uint8).tobytes() for v in sums.values()]
+            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(codes, pa.binary())], names=["block", "counts"])
 
     kind = "block int, counts binary"
     rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).collect()
-    out = np.zeros(COUNTERS, np.int32)
+    out = np.zeros(COUNTERS, np.uint8)
     for r in rows:
-        out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["counts"], np.int32)
+        out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 
 def document_sets(docs: DataFrame, counters: np.ndarray) -> DataFrame:
     """(rk, doc_id, n, d1, d2, prefix): size, 128-bit digest and ordered prefix of each document's set."""
-    usual = max(2.0, 1.5 * float(counters.mean()))  # what rare shingles that share a counter add up to
-    level = np.clip(np.floor(np.log2(np.maximum(counters, 1) / np.float32(usual))) + 1, 0, 60).astype(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(level)
+    totals = 2.0 ** (np.arange(256) / 8) - 1
+    usual = max(2.0, 1.5 * float(np.bincount(counters, minlength=256) @ totals) / COUNTERS)  # what rare shingles that share a counter add up to
+    level_of = np.clip(np.floor(np.log2(np.maximum(totals, 1) / usual)) + 1, 0, 60).astype(np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(level_of[counters])
 
     def scan(batches):
         levels = shared.value
