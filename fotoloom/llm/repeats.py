@@ -130,20 +130,39 @@ def anchor_runs(units: np.ndarray, ends: np.ndarray, cfg: RepeatConfig):
     return index[first], index[last], anchors[first], h[anchors[first]]
 
 
-def repeats_earlier(kind: np.ndarray, did: np.ndarray, tie: np.ndarray, lo: np.ndarray, across_only: bool):
-    """For things of equal ``kind``: which repeat an earlier one. Returns (order, mask of that order)."""
-    order = np.lexsort((lo, tie, did, kind))
-    k, d, t, p = kind[order], did[order], tie[order], lo[order]
-    n = len(order)
+def document_ranks(did: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Dense ranks of documents, in the order of ids."""
+    order = np.lexsort((tie, did))
+    d, t = did[order], tie[order]
+    rank = np.zeros(len(did), np.int64)
+    if len(did):
+        rank[order] = np.cumsum(np.concatenate([[False], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
+    return rank
+
+
+def repeats_earlier(kind: np.ndarray, doc: np.ndarray, did: np.ndarray, lo: np.ndarray, across_only: bool) -> np.ndarray:
+    """For things of equal ``kind`` (small numbers): a mask of those that repeat an earlier one.
+
+    ``doc``: ranks of the documents, rising with ``did``. One sort by (kind, doc); the earliest place inside
+    a document is a minimum over its stretch.
+    """
+    n = len(kind)
+    gone = np.zeros(n, bool)
+    if n < 2:
+        return gone
+    both = kind * (int(doc.max()) + 1) + doc
+    order = np.argsort(both)
+    k, b, d = kind[order], both[order], did[order]
     index = np.arange(n)
-    new_kind = np.ones(n, bool)
-    new_kind[1:] = k[1:] != k[:-1]
+    new_kind = np.concatenate([[True], k[1:] != k[:-1]])
     mask = d > d[np.maximum.accumulate(np.where(new_kind, index, 0))]
     if not across_only:
-        new_doc = new_kind.copy()
-        new_doc[1:] |= (d[1:] != d[:-1]) | (t[1:] != t[:-1])
-        mask |= p > p[np.maximum.accumulate(np.where(new_doc, index, 0))]
-    return order, mask
+        begins = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        p = lo[order]
+        first = np.minimum.reduceat(p, begins)
+        mask |= p > np.repeat(first, np.diff(np.append(begins, n)))
+    gone[order] = mask
+    return gone
 
 
 def _pack(lo, tie, a, n):
@@ -228,9 +247,10 @@ def anchor_rows(docs: DataFrame, units, cfg: RepeatConfig) -> DataFrame:
         run = np.fromiter((digest(raw[a * size : b * size]) for a, b in zip(lo.tolist(), (hi + cfg.window).tolist())), np.uint64, len(lo)) | np.uint64(1)
         starts = np.concatenate([[0], ends[:-1]])
         pos = _pack(lo - starts[doc] + offset, tie[doc], anchor - lo, hi - lo + 1)
-        order, settled = repeats_earlier(run, did[doc], tie[doc], lo - starts[doc], cfg.across_only)
-        run[order[settled]] = 0
-        key[order[settled]] = mix(run[order[settled]], pos[order[settled]].astype(np.uint64) * _M1 + did[doc][order[settled]].astype(np.uint64))
+        kind = np.unique(run, return_inverse=True)[1]
+        settled = repeats_earlier(kind, document_ranks(did, tie)[doc], did[doc], lo - starts[doc], cfg.across_only)
+        run[settled] = 0
+        key[settled] = mix(pos[settled].astype(np.uint64), did[doc][settled].astype(np.uint64))  # anywhere, evenly
         yield _batch(key, run, did[doc], pos)
 
     return _identified(docs).mapInArrow(scan, _ROW)
@@ -254,8 +274,8 @@ def settle_by_anchor(rows: DataFrame, cfg: RepeatConfig) -> DataFrame:
         kind = np.zeros(len(key), np.int64)
         k, r = key[order], run[order]
         kind[order] = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]))
-        by, settled = repeats_earlier(kind, did, tie, lo, cfg.across_only)
-        return by[settled], np.sort(by[~settled]), kind
+        settled = repeats_earlier(kind, document_ranks(did, tie), did, lo, cfg.across_only)
+        return np.flatnonzero(settled), np.flatnonzero(~settled)
 
     def last_group_done(hold):
         key, run, did, pos = hold
@@ -295,7 +315,7 @@ def settle_by_anchor(rows: DataFrame, cfg: RepeatConfig) -> DataFrame:
             many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             many |= key == key[-1]
             key, run, did, pos = key[many], run[many], did[many], pos[many]
-            settled, left, _ = groups(key, run, did, pos)
+            settled, left = groups(key, run, did, pos)
             if len(settled):
                 yield out(did[settled], pos[settled])
             key, run, did, pos = key[left], run[left], did[left], pos[left]
@@ -423,10 +443,10 @@ def merge_parts(compared: DataFrame, cfg: RepeatConfig) -> DataFrame:
             pair["d1"], pair["d2"] = d1, d2
             distinct = np.unique(pair)
             kind = np.searchsorted(distinct, pair)
-            order, again = repeats_earlier(kind, did, tie, lo, cfg.across_only)
-            gone = order[again]
+            again = repeats_earlier(kind, document_ranks(did, tie), did, lo, cfg.across_only)
+            gone = np.flatnonzero(again)
             yield pa.record_batch([pa.array(did[gone]), pa.array(tie[gone].astype(np.int32)), pa.array(lo[gone]), pa.array(np.ones(len(gone), np.int32))], names=["did", "tie", "lo", "n"])
-            keep = (pair == pair[-1]) & ~np.isin(np.arange(len(d1)), gone)
+            keep = (pair == pair[-1]) & ~again
             hold = tuple(c[keep] for c in cols)
 
     sorted_windows = windows.select("d1", "d2", "did", "tie", "lo").repartition("d1").sortWithinPartitions("d1", "d2", "did", "tie", "lo")

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .repeats import ByteUnits, RepeatConfig, Shard, covered, find_repeats, load8, repeats_earlier, with_repeats
+from .repeats import ByteUnits, RepeatConfig, Shard, covered, document_ranks, find_repeats, load8, repeats_earlier, with_repeats
 from .shared import byte_chunks
 
 WINDOW = 100
@@ -34,7 +34,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions of ``text`` in the order of their suffixes' first ``depth`` bytes at least."""
     n = len(text)
     first8 = load8(text).byteswap()
-    order = np.argsort(first8, kind="stable").astype(np.int64)
+    order = np.argsort(first8)
     s = first8[order]
     index = np.arange(n, dtype=np.int64)
     head = np.ones(n, bool)
@@ -53,7 +53,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         at = order[slots]
         following = rank[np.minimum(at + h, n)]
         group = start[slots]
-        by = np.lexsort((following, group))
+        by = np.argsort(group * (n + 1) + following + 1)
         order[slots] = at[by]
         g, f = group[by], following[by]
         fresh = np.ones(len(by), bool)
@@ -113,8 +113,8 @@ def repeated_windows(shard: Shard, window: int = WINDOW) -> tuple[np.ndarray, np
     own = offset < shard.n[context]  # windows that end inside their context
     kind = np.cumsum(shared < window)
     context, offset, kind = context[own], offset[own], kind[own]
-    by, again = repeats_earlier(kind, shard.did[context], shard.tie[context], shard.lo[context] + offset, False)
-    gone = by[again]
+    ranks = document_ranks(shard.did, shard.tie)
+    gone = repeats_earlier(kind, ranks[context], shard.did[context], shard.lo[context] + offset, False)
     return context[gone], offset[gone]
 
 
