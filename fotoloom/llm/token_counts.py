@@ -120,6 +120,7 @@ class Counter(dict):
         return sum(map(self.__getitem__, (s[1:] if s[0] == SPACE else s).split(SPACE)))
 
 
+#: The counter of this worker.
 _counters: dict[Vocabulary, Counter] = {}
 
 
@@ -128,9 +129,10 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataF
     vocab = docs.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary.from_sentencepiece())
 
     def count(batches):
-        v = vocab.value
-        counter = _counters.setdefault(v, None) or Counter(v)
-        _counters[v] = counter
+        if vocab.value not in _counters:
+            _counters.clear()
+            _counters[vocab.value] = Counter(vocab.value)
+        counter = _counters[vocab.value]
         for batch in byte_chunks(batches, 8 << 20):
             texts = (None if t is None else t.decode("utf-8", "replace") for t in batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), pa.array([counter.count(t) if t else 0 for t in texts], pa.int64())], names=["doc_id", "n_tokens"])
