@@ -19,8 +19,8 @@ share an anchor can hold equal windows. That is all the shuffle has to carry:
    merged by binary search.
 5. ``collect_removals``: settled runs and windows, one list for each document.
 
-Order of documents: by doc_id, null first. Rows that repeat a doc_id and text are one
-document; rows that share a doc_id but not the text precede neither each other.
+Order of documents: by doc_id, null first. A document is a doc_id and ``tie``, the 64-bit
+hash of its text. Rows that repeat a doc_id and text are one document; rows that share a doc_id but not the text precede neither each other.
 """
 
 from __future__ import annotations
@@ -165,12 +165,8 @@ def repeats_earlier(kind: np.ndarray, doc: np.ndarray, did: np.ndarray, lo: np.n
     return gone
 
 
-def _pack(lo, tie, a, n):
-    return (lo << 32) | (tie << 16) | (a << 8) | n
-
-
-def _unpack(pos: np.ndarray):
-    return pos >> 32, (pos >> 16) & 0xFFFF, (pos >> 8) & 0xFF, pos & 0xFF
+def _pack(lo, a, n):
+    return (lo << 16) | (a << 8) | n
 
 
 class ByteUnits:
@@ -206,12 +202,12 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"),
-        F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tie"),
+        F.xxhash64("text").alias("tie"),
     )
 
 
-_ROW = "key long, run long, did long, pos long"
-_NAMES = ["key", "run", "did", "pos"]
+_ROW = "key long, run long, did long, tie long, pos long"
+_NAMES = ["key", "run", "did", "tie", "pos"]
 
 
 def _batch(*columns) -> pa.RecordBatch:
@@ -219,11 +215,11 @@ def _batch(*columns) -> pa.RecordBatch:
 
 
 def anchor_rows(docs: DataFrame, units, cfg: RepeatConfig) -> DataFrame:
-    """Runs as (key, run, did, pos); those settled inside a batch have run = 0 and any key."""
+    """Runs as (key, run, did, tie, pos); those settled inside a batch have run = 0 and any key."""
 
     def scan(batches):
         for batch in byte_chunks(batches, cfg.chunk_bytes):
-            did, tie = batch.column("did").to_numpy(), batch.column("tie").to_numpy().astype(np.int64)
+            did, tie = batch.column("did").to_numpy(), batch.column("tie").to_numpy()
             texts = [units.of(t) for t in batch.column("text").to_pylist()]
             for a in range(0, len(texts), 4096):
                 some = texts[a : a + 4096]
@@ -246,42 +242,40 @@ def anchor_rows(docs: DataFrame, units, cfg: RepeatConfig) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         run = np.fromiter((digest(raw[a * size : b * size]) for a, b in zip(lo.tolist(), (hi + cfg.window).tolist())), np.uint64, len(lo)) | np.uint64(1)
         starts = np.concatenate([[0], ends[:-1]])
-        pos = _pack(lo - starts[doc] + offset, tie[doc], anchor - lo, hi - lo + 1)
+        pos = _pack(lo - starts[doc] + offset, anchor - lo, hi - lo + 1)
         kind = np.unique(run, return_inverse=True)[1]
         settled = repeats_earlier(kind, document_ranks(did, tie)[doc], did[doc], lo - starts[doc], cfg.across_only)
         run[settled] = 0
         key[settled] = mix(pos[settled].astype(np.uint64), did[doc][settled].astype(np.uint64))  # anywhere, evenly
-        yield _batch(key, run, did[doc], pos)
+        yield _batch(key, run, did[doc], tie[doc], pos)
 
     return _identified(docs).mapInArrow(scan, _ROW)
 
 
 def settle_by_anchor(rows: DataFrame, cfg: RepeatConfig) -> DataFrame:
-    """Settled runs as (did, pos, key null) and runs to compare as (did, pos, key, part, n_parts)."""
-    schema = "did long, pos long, key long, part int, n_parts int"
+    """Settled runs as (did, tie, pos, key null) and runs to compare as (did, tie, pos, key, part, n_parts)."""
+    schema = "did long, tie long, pos long, key long, part int, n_parts int"
 
-    def out(did, pos, key=None, part=None, n_parts=1):
+    def out(did, tie, pos, key=None, part=None, n_parts=1):
         n = len(did)
         keys = pa.nulls(n, pa.int64()) if key is None else pa.array(key)
         parts = pa.nulls(n, pa.int32()) if part is None else pa.array(part.astype(np.int32))
         counts = pa.nulls(n, pa.int32()) if part is None else pa.array(np.broadcast_to(np.asarray(n_parts, np.int32), n))
-        return pa.record_batch([pa.array(did), pa.array(pos), keys, parts, counts], names=["did", "pos", "key", "part", "n_parts"])
+        return pa.record_batch([pa.array(did), pa.array(tie), pa.array(pos), keys, parts, counts], names=["did", "tie", "pos", "key", "part", "n_parts"])
 
-    def groups(key, run, did, pos):
+    def groups(key, run, did, tie, pos):
         """Settle whole groups; returns what is settled and what is left, in order of key."""
-        lo, tie, _, _ = _unpack(pos)
         order = np.lexsort((run, key))
         kind = np.zeros(len(key), np.int64)
         k, r = key[order], run[order]
         kind[order] = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]))
-        settled = repeats_earlier(kind, document_ranks(did, tie), did, lo, cfg.across_only)
+        settled = repeats_earlier(kind, document_ranks(did, tie), did, pos >> 16, cfg.across_only)
         return np.flatnonzero(settled), np.flatnonzero(~settled)
 
     def last_group_done(hold):
-        key, run, did, pos = hold
-        yield from compare(key, run, did, pos)
+        yield from compare(*hold)
 
-    def compare(key, run, did, pos):
+    def compare(key, run, did, tie, pos):
         """Rows left over, sorted by key: emit those of keys with at least two different runs."""
         if len(key) < 2:
             return
@@ -294,45 +288,45 @@ def settle_by_anchor(rows: DataFrame, cfg: RepeatConfig) -> DataFrame:
         some = (different >= 2)[group]
         if some.any():
             ordinal = np.arange(len(key)) - begins[group]
-            yield out(did[some], pos[some], key[some], (ordinal // cfg.shard_runs)[some], (-(-sizes // cfg.shard_runs))[group][some])
+            yield out(did[some], tie[some], pos[some], key[some], (ordinal // cfg.shard_runs)[some], (-(-sizes // cfg.shard_runs))[group][some])
 
     def stream(batches):
-        hold = tuple(np.empty(0, np.int64) for _ in range(4))  # what is left of the key not yet ended
+        hold = tuple(np.empty(0, np.int64) for _ in range(5))  # what is left of the key not yet ended
         for batch in batches:
-            key, run, did, pos = (batch.column(c).to_numpy() for c in _NAMES)
+            key, run, did, tie, pos = (batch.column(c).to_numpy() for c in _NAMES)
             done = run == 0
             if done.any():
-                yield out(did[done], pos[done])
-                key, run, did, pos = key[~done], run[~done], did[~done], pos[~done]
+                yield out(did[done], tie[done], pos[done])
+                key, run, did, tie, pos = key[~done], run[~done], did[~done], tie[~done], pos[~done]
             if not len(key):
                 continue
             if len(hold[0]) and hold[0][0] != key[0]:
                 yield from last_group_done(hold)
                 hold = tuple(c[:0] for c in hold)
-            key, run, did, pos = (np.concatenate([a, b]) for a, b in zip(hold, (key, run, did, pos)))
+            key, run, did, tie, pos = (np.concatenate([a, b]) for a, b in zip(hold, (key, run, did, tie, pos)))
             # single rows are the rule: look at groups only, and at the last key, which may go on
             same = key[1:] == key[:-1]
             many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             many |= key == key[-1]
-            key, run, did, pos = key[many], run[many], did[many], pos[many]
-            settled, left = groups(key, run, did, pos)
+            key, run, did, tie, pos = key[many], run[many], did[many], tie[many], pos[many]
+            settled, left = groups(key, run, did, tie, pos)
             if len(settled):
-                yield out(did[settled], pos[settled])
-            key, run, did, pos = key[left], run[left], did[left], pos[left]
+                yield out(did[settled], tie[settled], pos[settled])
+            key, run, did, tie, pos = key[left], run[left], did[left], tie[left], pos[left]
             going = key == key[-1] if len(key) else np.empty(0, bool)
-            hold = (key[going], run[going], did[going], pos[going])
-            yield from compare(key[~going], run[~going], did[~going], pos[~going])
+            hold = (key[going], run[going], did[going], tie[going], pos[going])
+            yield from compare(key[~going], run[~going], did[~going], tie[~going], pos[~going])
         yield from last_group_done(hold)
 
-    return rows.repartition("key").sortWithinPartitions("key", "did", "pos").mapInArrow(stream, schema)
+    return rows.repartition("key").sortWithinPartitions("key", "did", "tie", "pos").mapInArrow(stream, schema)
 
 
-CONTEXT = "units binary, key long, part int, n_parts int, did long, tie int, lo long, a int, n int"
+CONTEXT = "units binary, key long, part int, n_parts int, did long, tie long, lo long, a int, n int"
 
 
 def fetch_contexts(docs: DataFrame, settled: DataFrame, units, cfg: RepeatConfig) -> DataFrame:
     """The units of the runs to compare, in partitions of whole (key, part), sorted."""
-    wanted = settled.where("key IS NOT NULL").withColumn("tie", F.shiftright("pos", 16).bitwiseAND(F.lit(0xFFFF)).cast("int"))
+    wanted = settled.where("key IS NOT NULL")
     lists = wanted.groupBy("did", "tie").agg(F.collect_set(F.struct("pos", "key", "part", "n_parts")).alias("runs"))
     joined = _identified(docs).join(lists, ["did", "tie"])
 
@@ -340,12 +334,12 @@ def fetch_contexts(docs: DataFrame, settled: DataFrame, units, cfg: RepeatConfig
         for batch in byte_chunks(batches, cfg.chunk_bytes):
             cols = {c: [] for c in ("units", "key", "part", "n_parts", "did", "tie", "lo", "a", "n")}
             for text, did, tie, runs in zip(*(batch.column(c).to_pylist() for c in ("text", "did", "tie", "runs"))):
-                places = [(r["pos"] >> 32, (r["pos"] >> 8) & 0xFF, r["pos"] & 0xFF) for r in runs]
+                places = [(r["pos"] >> 16, (r["pos"] >> 8) & 0xFF, r["pos"] & 0xFF) for r in runs]
                 cols["units"] += units.cut(text, [(lo, lo + n + cfg.window - 1) for lo, _, n in places])
                 for (lo, a, n), r in zip(places, runs):
                     for c, v in (("key", r["key"]), ("part", r["part"]), ("n_parts", r["n_parts"]), ("did", did), ("tie", tie), ("lo", lo), ("a", a), ("n", n)):
                         cols[c].append(v)
-            kinds = {"units": pa.binary(), "key": pa.int64(), "did": pa.int64(), "lo": pa.int64()}
+            kinds = {"units": pa.binary(), "key": pa.int64(), "did": pa.int64(), "tie": pa.int64(), "lo": pa.int64()}
             yield pa.record_batch([pa.array(v, kinds.get(c, pa.int32())) for c, v in cols.items()], names=list(cols))
 
     contexts = joined.select("text", "did", "tie", "runs").mapInArrow(cut, CONTEXT)
@@ -354,7 +348,7 @@ def fetch_contexts(docs: DataFrame, settled: DataFrame, units, cfg: RepeatConfig
 
 #: What the comparison of a shard returns: removed windows (digests null), and for anchors of
 #: several parts the distinct windows that are left, by a 128-bit digest.
-COMPARED = "did long, tie int, lo long, n int, d1 long, d2 long"
+COMPARED = "did long, tie long, lo long, n int, d1 long, d2 long"
 
 
 @dataclass
@@ -408,7 +402,7 @@ def compare_shards(contexts: DataFrame, compare: Callable[[Shard], tuple[np.ndar
 
     def emit(did, tie, lo, n, d1=None, d2=None):
         digests = [pa.nulls(len(did), pa.int64()) if d is None else pa.array(np.ascontiguousarray(d)) for d in (d1, d2)]
-        return pa.record_batch([pa.array(did), pa.array(tie.astype(np.int32)), pa.array(lo), pa.array(n.astype(np.int32)), *digests], names=["did", "tie", "lo", "n", "d1", "d2"])
+        return pa.record_batch([pa.array(did), pa.array(tie), pa.array(lo), pa.array(n.astype(np.int32)), *digests], names=["did", "tie", "lo", "n", "d1", "d2"])
 
     def run(batches):
         rows, size, last = [], 0, None
@@ -445,12 +439,12 @@ def merge_parts(compared: DataFrame, cfg: RepeatConfig) -> DataFrame:
             kind = np.searchsorted(distinct, pair)
             again = repeats_earlier(kind, document_ranks(did, tie), did, lo, cfg.across_only)
             gone = np.flatnonzero(again)
-            yield pa.record_batch([pa.array(did[gone]), pa.array(tie[gone].astype(np.int32)), pa.array(lo[gone]), pa.array(np.ones(len(gone), np.int32))], names=["did", "tie", "lo", "n"])
+            yield pa.record_batch([pa.array(did[gone]), pa.array(tie[gone]), pa.array(lo[gone]), pa.array(np.ones(len(gone), np.int32))], names=["did", "tie", "lo", "n"])
             keep = (pair == pair[-1]) & ~again
             hold = tuple(c[keep] for c in cols)
 
     sorted_windows = windows.select("d1", "d2", "did", "tie", "lo").repartition("d1").sortWithinPartitions("d1", "d2", "did", "tie", "lo")
-    return sorted_windows.mapInArrow(stream, "did long, tie int, lo long, n int")
+    return sorted_windows.mapInArrow(stream, "did long, tie long, lo long, n int")
 
 
 def find_repeats(docs: DataFrame, units, cfg: RepeatConfig, compare, digest_of) -> DataFrame:
@@ -460,7 +454,7 @@ def find_repeats(docs: DataFrame, units, cfg: RepeatConfig, compare, digest_of)
     release(spark)
     compared, p2 = stage(compare_shards(fetch_contexts(docs, settled, units, cfg), compare, digest_of, cfg), "compared")
     release(spark)
-    whole = settled.where("key IS NULL").select("did", F.shiftright("pos", 16).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tie"), F.shiftright("pos", 32).alias("lo"), F.col("pos").bitwiseAND(F.lit(0xFF)).cast("int").alias("n"))
+    whole = settled.where("key IS NULL").select("did", "tie", F.shiftright("pos", 16).alias("lo"), F.col("pos").bitwiseAND(F.lit(0xFF)).cast("int").alias("n"))
     parts = compared.where("d1 IS NULL").select("did", "tie", "lo", "n")
     every = whole.unionByName(parts).unionByName(merge_parts(compared, cfg))
     found, _ = stage(every.groupBy("did", "tie").agg(F.collect_list(F.struct("lo", "n")).alias("runs")), "repeats")

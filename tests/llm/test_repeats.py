@@ -68,6 +68,21 @@ def test_substring_dedup(spark, seed, shard_runs):
     assert sum(r[2] for r in got) > 500
 
 
+def test_many_texts_of_one_id(spark):
+    """Thousands of texts under the null id and one repeated id are told apart."""
+    r = random.Random(5)
+    make = lambda n: " ".join(r.choice(["the", "of", "and", "été", "on", "in"]) for _ in range(n))
+    shared = make(60)
+    rows = [(d, f"{make(r.randint(1, 4))} {shared if i % 50 == 0 else make(55)} {make(r.randint(1, 4))}") for d in (None, 9) for i in range(2500)]
+    rows += [(4, make(70)), (12, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.dedup(df).collect()), key=str)
+    assert got == brute(rows, 100, lambda t: list(t.encode()), bytes, False)
+    got = sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.dedup(df).collect()), key=str)
+    want = brute(rows, 50, lambda t: t.encode().split(), b" ".join, True)
+    assert got == sorted(((a, b, c, e) for a, b, c, _, e in want), key=str)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.dedup(df).collect() == [] and substring_dedup.dedup(df).collect() == []
