@@ -9,7 +9,7 @@ trained here in numpy by backpropagation through time with Adam.
 
 Training sample (a documented bound): of the rows with a language, a text and
 ``crc32(doc_id) % 5 != 0``, those of smallest id hash, about ``per_language`` for each
-language, ``sample_chars`` characters of each. Counts per language cover all rows.
+language and twice that at most, ``sample_chars`` characters of each. Counts per language cover all rows.
 Predictions read whole texts and nothing but the text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is
@@ -18,8 +18,8 @@ string; repeated rows are predicted each for itself; of equal probabilities the
 language first by code point wins. Input columns named like an output are replaced.
 
 Scale: training cost is fixed; prediction is one map, without a shuffle. The weights (a
-few ten thousand numbers) travel with the function. The number of languages is bounded
-by ``max_languages``, the most frequent ones.
+few ten thousand numbers) travel with the function. Every language with a row outside the
+held-out fold is learned; chunks and memo shrink where there are more than ``WIDE`` of them.
 """
 
 from __future__ import annotations
@@ -29,13 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import byte_chunks
 
 UNIT_BYTES = 32
 MEMO_ENTRIES = 250_000
+WIDE = 64
 UNDETERMINED = "und"
 
 
@@ -43,7 +44,6 @@ UNDETERMINED = "und"
 class LanguageConfig:
     per_language: int = 400
     sample_chars: int = 1500
-    max_languages: int = 64
     hidden: int = 12
     steps: int = 500
     batch: int = 256
@@ -71,6 +71,31 @@ def pad(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(flat.reshape(len(words), width).T), lengths
 
 
+def narrower(limit: int, n_labels: int) -> int:
+    """``limit`` rows of one number a label, less where labels are many."""
+    return max(1, limit * WIDE // max(WIDE, n_labels))
+
+
+class Evened:
+    """Lists of words as one sequence, each repeated until it is as long as the longest."""
+
+    def __init__(self, lists: list[list[bytes]]):
+        most = max(map(len, lists))
+        self.lists = lists
+        self.sizes = np.asarray([len(own) * -(-most // len(own)) if own else 0 for own in lists])
+        self.ends = np.cumsum(self.sizes)
+
+    def __len__(self) -> int:
+        return int(self.ends[-1])
+
+    def __getitem__(self, i: int) -> bytes:
+        k = int(np.searchsorted(self.ends, i, side="right"))
+        return self.lists[k][int(i - self.ends[k] + self.sizes[k]) % len(self.lists[k])]
+
+    def labels(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.lists)), self.sizes)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -143,7 +168,7 @@ class ByteGru:
                 later = later * (1 - k * z) + through @ w[d + "u"].T
         return loss, g
 
-    def train(self, words: list[bytes], labels: np.ndarray, cfg: LanguageConfig) -> None:
+    def train(self, words: Evened, labels: np.ndarray, cfg: LanguageConfig) -> None:
         rng = np.random.default_rng(cfg.seed)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
@@ -160,8 +185,9 @@ class ByteGru:
         """Position probabilities summed over each word: (word, label)."""
         out = np.empty((len(words), self.n), np.float32)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
+        size = narrower(4096, self.n)
+        for at in range(0, len(order), size):
+            some = order[at : at + size]
             p, keep, _ = self.positions(*pad([words[i] for i in some]))
             out[some] = (p * keep[:, :, None]).sum(axis=0)
         return out
@@ -176,30 +202,28 @@ class LanguageModel:
 def train_language_model(docs: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> LanguageModel:
     """Fit on the bounded sample that the module's docstring describes."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(cfg.max_languages).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return LanguageModel((), None)
     labels = tuple(sorted((r["lang"] for r in counts), key=lambda s: s.encode()))
     # a hash range that is expected to hold per_language rows of each language
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, cfg.per_language / r["count"]))) for r in counts])
+    shares = [(r["lang"], min(1.0, cfg.per_language / r["count"])) for r in counts]
+    share = docs.sparkSession.createDataFrame(shares, "lang string, share double")
     place = (F.xxhash64("doc_id", F.lit(cfg.seed)).bitwiseAND(F.lit((1 << 32) - 1))).cast("double") / float(1 << 32)
-    sample = known.where(place < share).select("lang", "doc_id", F.substring("text", 1, cfg.sample_chars).cast("binary").alias("text"))
-    rows = sample.orderBy("lang", "doc_id", "text").limit(2 * cfg.per_language * len(counts)).collect()
-    words, marks = [], []
-    for lang in labels:
-        own = [u for r in rows if r["lang"] == lang for u in units(bytes(r["text"]))]
-        words.append(own)
-    # languages weigh the same, however many rows they have
-    most = max(map(len, words))
-    if not most:
+    near = known.join(F.broadcast(share), "lang").where(place < F.col("share"))
+    sample = near.select("lang", "doc_id", F.substring("text", 1, cfg.sample_chars).cast("binary").alias("text"))
+    # a repeated id may put many rows into the range: the bound is that of each language, so none crowds out another
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id", "text"))
+    rows = sample.withColumn("nth", nth).where(F.col("nth") <= 2 * cfg.per_language).orderBy("lang", "nth").toLocalIterator()
+    words, same = {lang: [] for lang in labels}, {}
+    for r in rows:
+        words[r["lang"]] += [same.setdefault(u, u) for u in units(bytes(r["text"]))]
+    if not any(words.values()):
         return LanguageModel((), None)
-    flat = []
-    for i, own in enumerate(words):
-        if own:
-            flat += own * -(-most // len(own))
-            marks += [i] * (len(own) * -(-most // len(own)))
+    # languages weigh the same, however many rows they have
+    flat = Evened([words[lang] for lang in labels])
     net = ByteGru(len(labels), cfg.hidden, cfg.seed)
-    net.train(flat, np.asarray(marks), cfg)
+    net.train(flat, flat.labels(), cfg)
     return LanguageModel(labels, net)
 
 
@@ -211,7 +235,7 @@ class Predictor:
     def _learned(self, words: list[bytes]) -> np.ndarray:
         new = list(set(words).difference(self.memo))
         if new:
-            if self.size + len(new) > MEMO_ENTRIES:
+            if self.size + len(new) > narrower(MEMO_ENTRIES, self.model.net.n):
                 self.memo.clear()
                 self.size, new = 0, list(set(words))
             need = self.size + len(new)
@@ -262,7 +286,7 @@ def classify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         if name not in _predictors:
             _predictors.clear()
             _predictors[name] = Predictor(shared.value)
-        for batch in byte_chunks(batches, 2 << 20, "doc", "text"):
+        for batch in byte_chunks(batches, narrower(2 << 20, len(model.labels)), "doc", "text"):
             texts = pa.compute.struct_field(batch.column("doc"), "text").cast(pa.binary())
             langs, scores = _predictors[name].predict(texts.to_pylist())
             yield pa.record_batch([batch.column("doc"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc", "lang_pred", "score"])

@@ -48,3 +48,25 @@ def test_edges(spark):
     nothing = train_language_model(df.withColumn("lang", F.lit(None).cast("string")))
     assert nothing == LanguageModel((), None) and {r.lang_pred for r in classify(df, nothing).collect()} == {"und"}
     assert classify(df.limit(0), model).collect() == []
+
+
+def test_more_than_64_languages(spark):
+    # language k has 12 + k rows, each of letters of its own: the rarest were not learned
+    rows = [(200 * k + i, chr(0x4E00 + 64 * k) * 3, f"l{k:02}") for k in range(70) for i in range(12 + k)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train_language_model(df, LanguageConfig(steps=400))
+    assert model.labels == tuple(f"l{k:02}" for k in range(70)) and model.net.n == 70
+    wrong = classify(df, model).where("lang != lang_pred").groupBy("lang").count().collect()
+    assert not any(r.lang < "l06" for r in wrong) and len(wrong) < 7
+
+
+def test_a_repeated_id_crowds_out_no_language(spark):
+    cfg = LanguageConfig(per_language=20, steps=60)
+    rows = [(i, "the cat is here", "zz") for i in range(40)]
+    place = F.xxhash64("id", F.lit(cfg.seed)).bitwiseAND(F.lit((1 << 32) - 1)) / float(1 << 32)
+    hot = spark.range(2000).where((place < 0.03) & ~held_out(F.col("id"))).first().id
+    rows += [(hot, "el gato que come", "aa") for _ in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train_language_model(df, cfg)
+    got = {r.lang_pred for r in classify(df.where("lang = 'zz'"), model).collect()}
+    assert model.labels == ("aa", "zz") and got == {"zz"}
