@@ -22,6 +22,8 @@ from fotoloom.llm.token_output import sequences
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train_language_model(docs)
+    if model.net is None:  # nothing to learn from: no text can be told, and only those without a letter go
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return classify(docs, model).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
 
 

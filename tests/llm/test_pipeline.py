@@ -23,6 +23,13 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+def test_language_stage_without_labels(spark):
+    rows = [(1, "the cat", None), (2, None, None), (3, "12 !", None), (4, "ñ", None), (5, "中", None), (6, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = corpus_pipeline.language(spark, docs, SF)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 4, 5]
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
