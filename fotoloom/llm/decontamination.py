@@ -9,7 +9,9 @@ containment in a document is at least ``t``, then at most ``(1 - t) * size`` of
 shingles are missing there, so at least one signature shingle is present: the search
 misses nothing, however long the document is. (Plain MinHash bands against a whole
 long document see a Jaccard similarity near 0 and would miss most short items; that is
-why the signature side is asymmetric.) Pairs found this way are verified by the exact
+why the signature side is asymmetric.) The exception is an item of under five words: a
+longer document has no shingle of fewer words, so such an item is found only in documents
+of exactly its words (this is what the SQL defines). Pairs found this way are verified by the exact
 number of the item's shingles, compared as text, that the document holds.
 
 Defined results: null or empty texts have no shingle and are never matched; repeated
