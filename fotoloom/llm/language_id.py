@@ -214,7 +214,7 @@ def train_language_model(docs: DataFrame, cfg: LanguageConfig = LanguageConfig()
     sample = near.select("lang", "doc_id", F.substring("text", 1, cfg.sample_chars).cast("binary").alias("text"))
     # a repeated id may put many rows into the range: the bound is that of each language, so none crowds out another
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id", "text"))
-    rows = sample.withColumn("nth", nth).where(F.col("nth") <= 2 * cfg.per_language).orderBy("lang", "nth").toLocalIterator()
+    rows = sample.withColumn("nth", nth).where(F.col("nth") <= 2 * cfg.per_language).orderBy("lang", "nth").collect()
     words, same = {lang: [] for lang in labels}, {}
     for r in rows:
         words[r["lang"]] += [same.setdefault(u, u) for u in units(bytes(r["text"]))]
