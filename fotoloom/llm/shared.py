@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..staging import bounded_broadcast, release, stage
 
-__all__ = ["WORD", "ascii_lower", "bounded_broadcast", "byte_chunks", "release", "stage"]
+__all__ = ["WORD", "BoundedMemo", "ascii_lower", "bounded_broadcast", "byte_chunks", "free_name", "release", "stage"]
 
 #: A word: a run of characters other than space, tab, LF, VT, FF and CR.
 #: ``bytes.split()`` splits at exactly these characters.
@@ -52,3 +52,36 @@ def byte_chunks(batches, limit: int, column: str | None = None, field: str | Non
                 start, total = i, 0
             total += size
         yield batch.slice(start)
+
+
+def free_name(taken: list[str], base: str) -> str:
+    """``base``, with underscores before it until no column of ``taken`` has that name in any case."""
+    used = {c.lower() for c in taken}
+    while base.lower() in used:
+        base = f"_{base}"
+    return base
+
+
+class BoundedMemo(dict):
+    """What ``make`` returned for a key, for about ``limit`` bytes of keys and values; long keys are made each time.
+
+    A task owns its memo and drops it when it ends, so that a worker that is used again holds none.
+    """
+
+    LONGEST = 64
+    #: what an entry takes besides the characters of its key and value
+    ENTRY = 200
+
+    def __init__(self, make, limit: int = 24 << 20):
+        super().__init__()
+        self.make, self.limit, self.held = make, limit, 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= self.LONGEST:
+            if self.held >= self.limit:
+                self.clear()
+                self.held = 0
+            self[key] = value
+            self.held += self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+        return value
