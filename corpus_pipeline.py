@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again.
 
-1. language: documents whose language cannot be told (no text, no letter) go.
+1. language: documents go that the trained network gives no language with a score of half or more.
 2. near_duplicates: one document of each group of near copies stays.
 3. decontaminate: documents that contain a benchmark item go.
 4. mix: documents are repeated to their source's target.
@@ -10,21 +10,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fotoloom.llm.decontamination import decontaminate
 from fotoloom.llm.jaccard_join import drop_near_duplicates
-from fotoloom.llm.language_id import UNDETERMINED, classify, train_language_model
+from fotoloom.llm.language_id import keep_identified
 from fotoloom.llm.mixing import mix
 from fotoloom.llm.shared import stage
 from fotoloom.llm.token_output import sequences
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = train_language_model(docs)
-    if model.net is None:  # nothing to learn from: no text can be told, and only those without a letter go
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    return classify(docs, model).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
