@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a grouped prefix join, and the components of its links.
 
-A document is its set of distinct five-word shingles, as 64-bit hashes (A-Z lower-cased;
-fewer words are one shingle). Equal sets are one class. Two sets link when they share at
+A document is its set of distinct five-word shingles (A-Z lower-cased; fewer words are one
+shingle). Equal sets are one class. Two sets link when they share at
 least ``need(n1, n2) = ceil(3 (n1 + n2) / 7)`` shingles, which is a similarity of 0.75.
 
 Prefixes. Shingles are put in one global order, rare ones first; linked sets must share a
@@ -9,16 +9,25 @@ shingle within their first ``n - ceil(0.75 n) + 1``, so only those are joined. T
 count of all shingles in a fixed number of counters: whatever the counters say, any order is
 right; they only keep frequent passages out of the prefixes.
 
-Groups. In the list of a shingle, sets of the same size with that shingle at the same place in
-their prefix are one group. Group pairs that cannot share enough (size and position bounds) are
-dropped before their members are looked at.
+Groups. Classes with the same prefix and size are one group, and only groups are joined: a group posts one row for each
+shingle of its prefix. Pairs of groups that cannot share enough are dropped by exact bounds: by
+their sizes and the places where they meet, then by what their whole prefixes share.
 
-Links. Pairs whose prefixes share too little are dropped by a bound that loses nothing; the rest are
-verified exactly. All members' pairs of a short list are looked at. In a long list each set is
-first compared with the leaders of its size band (sets with few rare shingles) and, for some shingles, a partner drawn by hash; sets that
-meet in a component are done, and a second round takes all pairs of long lists whose sets are
-still in different components. A component is thus exact without expanding a group of copies
-into all its pairs. Verification sends each pair's texts to a (leader, salt) partition.
+Links. The members of the pairs that remain are verified exactly, their shingles compared as words. To
+verify all pairs of a crowd of near copies would be quadratic, so this goes in two rounds. First the smallest members of two groups
+and of one group's own; of lists of up to ``short_list`` groups all pairs, of longer ones each
+group with the leader of its size band (the group with the fewest rarer shingles). Second, members
+of long lists, of groups and of pairs of groups that are still in different components: all their pairs that pass the bounds. A
+component is thus exact without expanding a crowd into all its pairs.
+
+Hot lists. A list that may have ``list_rows`` rows or more (the counters never say less) is not sent to one task: leaders are found
+by an aggregation that starts before the shuffle, rows are salted, and what is left for the second round is cut into
+blocks. Verification sends each pair's texts to a (leader, salt) partition.
+
+Hashes. Shingles are joined and classes made by 64-bit hashes (xxh3 of each word, mixed), classes by the 128-bit digest of
+all of a set's hashes. Two sets that differ could be one class only if each shingle they don't share had the hash of another:
+a chance of 2^-64 for each pair of sets that differ in one shingle alone, and less for all others. A chance
+collision elsewhere costs a comparison, not a link.
 
 Defined results: null texts and texts without words have no shingle, link to nothing and are
 their own component; rows that repeat a doc_id have a result each; a null doc_id never is a
@@ -30,6 +39,7 @@ follow the number of near copies. The driver reads the counters (a few fixed meg
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .repeats import NULL_ID, gram_hashes, mix
+from .repeats import NULL_ID, gram_hashes
 from .shared import bounded_broadcast, byte_chunks, release, stage
 
 SHINGLE = 5
@@ -51,63 +61,39 @@ _BLOCK = 1 << 16
 class JoinConfig:
     short_list: int = 8
     partners_of_salt: int = 128
-    #: so many leaders of each size band of a long list
-    leaders: int = 2
-    #: one in so many shingles of long lists draws partners by hash
-    draw_every: int = 32
-
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
-#: A random number for each byte, and powers of an odd base: a word's hash is the sum of number x power.
-_NUMBER = np.random.default_rng(41).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    size, step = 1, np.uint64(base)
-    while size < n:  # doubling: out[size:2 size] = out[:size] * base**size
-        m = min(size, n - size)
-        out[size : size + m] = out[:m] * step
-        step = np.uint64(int(step) ** 2 & 0xFFFFFFFFFFFFFFFF)
-        size *= 2
-    return out
+    #: a list that may be longer is split over several tasks
+    list_rows: int = 240
+    #: rows of a list that one task compares with each other
+    block_rows: int = 2048
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, A-Z lower-cased, and the number of words of each text.
+def text_words(texts: list[bytes | None]) -> list[list[bytes]]:
+    """The words of each text, A-Z lower-cased (``bytes.lower`` knows no other letters)."""
+    return [(t or b"").lower().split() for t in texts]
 
-    One pass over the joined bytes: a word's hash is a difference of prefix sums, moved to place 0.
-    """
-    data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
-    word = ~_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_NUMBER[data] * _powers(_BASE, len(data)), out=sums[1:])
-    undo = _powers(pow(_BASE, -1, 1 << 64), len(data))
-    h = (sums[end] - sums[begin]) * undo[begin]
-    h = mix(h, (end - begin).astype(np.uint64))
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    return h, np.diff(np.concatenate([[0], np.searchsorted(begin, bounds)]))
-
-
-def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+
+def word_shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
+    """The distinct shingles of a text, as words."""
+    if len(words) < SHINGLE:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(SHINGLE))))
+
+
+def shingle_hashes(texts: list[bytes | None]) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles, made of 64-bit hashes of their words."""
     out: list[np.ndarray] = []
     at = 0
     while at < len(texts):  # some megabytes at a time
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end] or b"") < 4 << 20):
+        while end < len(texts) and (end == at or size + len(texts[end] or b"") < 1 << 20):
             size += len(texts[end] or b"")
             end += 1
-        h, counts = word_hashes([t or b"" for t in texts[at:end]])
+        words = text_words(texts[at:end])
+        counts = list(map(len, words))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(words)), np.uint64, sum(counts))
         grams = gram_hashes(h, SHINGLE)
         first = 0
-        for n in counts.tolist():
+        for n in counts:
             if n >= SHINGLE:
                 g = np.sort(grams[first : first + n - SHINGLE + 1])
                 out.append(g[np.concatenate([[True], g[1:] != g[:-1]])])
@@ -141,8 +127,8 @@ def shingle_counters(docs: DataFrame) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(COUNTERS, np.uint8)
-        for batch in byte_chunks(batches, 8 << 20):
-            slots = (np.concatenate(shingle_sets(batch.column("text").to_pylist())) & np.uint64(COUNTERS - 1)).astype(np.int32)
+        for batch in byte_chunks(batches, 4 << 20):
+            slots = (np.concatenate(shingle_hashes(batch.column("text").to_pylist())) & np.uint64(COUNTERS - 1)).astype(np.int32)
             slot, n = np.unique(slots, return_counts=True)
             total[slot] = np.minimum(total[slot] + n, 255)
         if total.any():
@@ -166,30 +152,38 @@ def shingle_counters(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def document_sets(docs: DataFrame, counters: np.ndarray) -> DataFrame:
-    """(rk, doc_id, n, d1, d2, prefix): size, 128-bit digest and ordered prefix of each document's set."""
+def document_sets(docs: DataFrame, counters: np.ndarray, cfg: JoinConfig) -> DataFrame:
+    """(rk, doc_id, n, d1, d2, g1, g2, prefix, hot): each document's set: size, 128-bit digests of all of it and of
+    its ordered prefix, that prefix, and how many of its last places may have a long list.
+
+    Frequent shingles come last in the order, so those whose list may have ``list_rows`` rows are the prefix's end.
+    """
     totals = 2.0 ** (np.arange(256) / 8) - 1
     usual = max(2.0, 1.5 * float(np.bincount(counters, minlength=256) @ totals) / COUNTERS)  # what rare shingles that share a counter add up to
     level_of = np.clip(np.floor(np.log2(np.maximum(totals, 1) / usual)) + 1, 0, 60).astype(np.uint8)
+    # a task counts to 255, so below that a total is no less than the list is long
+    first_hot = int(level_of[int(np.searchsorted(totals, 0.9 * min(cfg.list_rows, 255)))])
     shared = docs.sparkSession.sparkContext.broadcast(level_of[counters])
 
     def scan(batches):
         levels = shared.value
-        for batch in byte_chunks(batches, 8 << 20):
-            sizes, digests, prefixes = [], [], []
-            for h in shingle_sets(batch.column("text").to_pylist()):
+        for batch in byte_chunks(batches, 4 << 20):
+            sizes, digests, prefixes, hot = [], [], [], []
+            for h in shingle_hashes(batch.column("text").to_pylist()):
                 n = len(h)
+                level = levels[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                prefix = np.argsort(level, kind="stable")[: n - (3 * n + 3) // 4 + 1 if n else 0]
                 sizes.append(n)
-                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
-                order = np.argsort(levels[(h & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
-                prefixes.append(h[order[: n - (3 * n + 3) // 4 + 1]].view(np.int64) if n else np.empty(0, np.int64))
-            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                prefixes.append(h[prefix].view(np.int64))
+                hot.append(int((level[prefix] >= first_hot).sum()))
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()) + xxhash.xxh3_128_digest(prefixes[-1].tobytes()))
+            marks = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 4)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
-            columns = [batch.column("rk"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), lists]
-            yield pa.record_batch(columns, names=["rk", "doc_id", "n", "d1", "d2", "prefix"])
+            columns = [batch.column("rk"), batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(marks[:, i])) for i in range(4)), lists, pa.array(hot, pa.int32())]
+            yield pa.record_batch(columns, names=["rk", "doc_id", "n", "d1", "d2", "g1", "g2", "prefix", "hot"])
 
-    return _numbered(docs).mapInArrow(scan, "rk long, doc_id long, n long, d1 long, d2 long, prefix array<long>")
+    return _numbered(docs).mapInArrow(scan, "rk long, doc_id long, n long, d1 long, d2 long, g1 long, g2 long, prefix array<long>, hot int")
 
 
 _PAIR = "a long, b long"
@@ -200,111 +194,141 @@ def _fits(n1, p1, n2, p2):
     return need(n1, n2) <= np.minimum(n1 - p1, n2 - p2)
 
 
-def _list_stream(batches, names):
-    """Whole lists from rows sorted by token: arrays of rows, cut where a token ends."""
-    hold = None
+def _list_stream(batches, names, n_keys=1):
+    """Whole lists from rows sorted by their first ``n_keys`` columns: arrays of rows, cut where a key ends."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         cols = [batch.column(c).to_numpy() for c in names]
-        if hold is not None:
-            cols = [np.concatenate([a, b]) for a, b in zip(hold, cols)]
         if not len(cols[0]):
             continue
-        end = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1 if (cols[0] != cols[0][-1]).any() else 0
-        hold = [c[end:] for c in cols]
+        other = np.zeros(len(cols[0]), bool)
+        for c in cols[:n_keys]:
+            other |= c != c[-1]
+        end = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if not end and held and any(h[-1][0] != c[0] for h, c in zip(zip(*held), cols[:n_keys])):
+            yield [np.concatenate(parts) for parts in zip(*held)]
+            held = []
         if end:
-            yield [c[:end] for c in cols]
-    if hold is not None and len(hold[0]):
-        yield hold
+            held.append([c[:end] for c in cols])
+            yield [np.concatenate(parts) for parts in zip(*held)]
+            held = []
+        held.append([c[end:] for c in cols])
+    if held:
+        yield [np.concatenate(parts) for parts in zip(*held)]
 
 
-def candidates(postings: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """First round: pairs (a, b, null token...) of short lists and leaders, and the members of long lists."""
-    schema = "a long, b long, token long, cid long, n long, pos int"
+def _distinct_pairs(a, b) -> np.ndarray:
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    some = lo != hi
+    return np.unique(np.stack([lo[some], hi[some]], axis=1), axis=0)
 
-    def pairs(a, b):
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        some = lo != hi
-        both = np.unique(np.stack([lo[some], hi[some]], axis=1), axis=0)
-        m = len(both)
-        return pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), *(pa.nulls(m, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "token", "cid", "n", "pos"])
+
+def group_pairs(postings: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """Pairs of groups (a, b, token null) from the lists that are not hot, and the members of their long lists (a, b null).
+
+    In a short list all groups meet that fit. In a longer one each meets the group of its size band
+    with the fewest rarer shingles, which is the middle of a crowd of near copies.
+    """
 
     def stream(batches):
-        for token, cid, n, pos in _list_stream(batches, ("token", "cid", "n", "pos")):
+        for token, gid, n, pos in _list_stream(batches, ("token", "gid", "n", "pos")):
             begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             sizes = np.diff(np.append(begins, len(token)))
-            a_all, b_all = [], []
+            a_all, b_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for size in range(2, cfg.short_list + 1):  # all lists of one size at once
                 rows = begins[sizes == size][:, None] + np.arange(size)[None, :]
                 for i in range(size if len(rows) else 0):
                     for j in range(i + 1, size):
                         x, y = rows[:, i], rows[:, j]
                         ok = _fits(n[x], pos[x], n[y], pos[y])
-                        a_all.append(cid[x[ok]])
-                        b_all.append(cid[y[ok]])
-            long = np.flatnonzero(sizes > cfg.short_list)
-            for g in long:
+                        a_all.append(gid[x[ok]])
+                        b_all.append(gid[y[ok]])
+            for g in np.flatnonzero(sizes > cfg.short_list):
                 lo, hi = begins[g], begins[g] + sizes[g]
-                c, m, p = cid[lo:hi], n[lo:hi], pos[lo:hi]  # in the order of (n, cid)
+                c, m, p = gid[lo:hi], n[lo:hi], pos[lo:hi]  # in the order of (n, gid)
                 at = 0
                 while at < len(c):  # a band: sizes that can all link to each other
                     end = max(int(np.searchsorted(m, m[at] * 4 // 3, side="right")), at + 1)
-                    # sets with few rare shingles before this one are the middle of a group of near copies
-                    for lead in at + np.lexsort((c[at:end], p[at:end]))[: cfg.leaders]:
-                        x = np.arange(at, end)
-                        ok = _fits(m[x], p[x], m[lead], p[lead])
-                        a_all.append(c[x[ok]])
-                        b_all.append(np.full(int(ok.sum()), c[lead]))
-                    at = end
-                if (int(token[lo]) >> 7) % cfg.draw_every == 0:
-                    mixed = np.argsort((c ^ token[lo]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
-                    x, y = mixed[1:], mixed[:-1]
-                    ok = _fits(m[x], p[x], m[y], p[y])
+                    x, lead = np.arange(at, end), at + np.lexsort((c[at:end], p[at:end]))[0]
+                    ok = _fits(m[x], p[x], m[lead], p[lead])
                     a_all.append(c[x[ok]])
-                    b_all.append(c[y[ok]])
+                    b_all.append(np.full(int(ok.sum()), c[lead]))
+                    at = end
                 k = hi - lo
-                yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(token[lo:hi]), pa.array(c), pa.array(m), pa.array(p.astype(np.int32))], names=["a", "b", "token", "cid", "n", "pos"])
-            if a_all:
-                yield pairs(np.concatenate(a_all), np.concatenate(b_all))
+                yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(token[lo:hi]), pa.array(c), pa.array(m), pa.array(p.astype(np.int32))], names=["a", "b", "token", "gid", "n", "pos"])
+            both = _distinct_pairs(np.concatenate(a_all), np.concatenate(b_all))
+            m = len(both)
+            yield pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), *(pa.nulls(m, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "token", "gid", "n", "pos"])
 
-    return postings.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(stream, schema)
+    kind = "a long, b long, token long, gid long, n long, pos int"
+    return postings.repartition("token").sortWithinPartitions("token", "n", "gid").mapInArrow(stream, kind)
 
 
-def unfinished_pairs(members: DataFrame) -> DataFrame:
-    """Second round: pairs of long lists whose members are in different components."""
+def hot_pairs(hot: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """Pairs (a, b) of the groups of hot lists with the leaders of their own and the next smaller size band.
+
+    The leader is found by an aggregation that begins before the shuffle, and a list's rows are spread by salt, so that no task reads a whole list.
+    """
+    salts = 32
+    banded = hot.withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
+    lead = banded.groupBy("token", "band").agg(F.min(F.struct("pos", "gid", "n")).alias("lead"))
+    lead = lead.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    spread = banded.withColumn("salt", F.pmod(F.xxhash64("gid"), F.lit(salts)).cast("int"))
+    met = spread.join(lead, ["token", "band", "salt"]).where(F.col("gid") != F.col("lead.gid"))
+    both = F.col("n") + F.col("lead.n")
+    met = met.where(F.floor((3 * both + 6) / 7) <= F.least(F.col("n") - F.col("pos"), F.col("lead.n") - F.col("lead.pos")))
+    return met.select(F.least("gid", "lead.gid").alias("a"), F.greatest("gid", "lead.gid").alias("b")).distinct()
+
+
+def unfinished_pairs(members: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """Pairs (a, b) of sets in one list (token, cid, n, pos) that fit but are in different components (comp).
+
+    Lists within one component are dropped before anything is dealt out. Of the others each is cut into blocks
+    of about ``block_rows``, and a task compares two blocks, however long the list is.
+    """
+    by_list = members.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size"))
+    apart = stage(by_list.where("least <> most").select("token", F.ceil(F.col("size") / cfg.block_rows).cast("int").alias("blocks")), "lists-apart")[0]
+    rest = members.join(bounded_broadcast(apart, 1_000_000), "token").withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rest.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "n", "pos", "comp")
+    names = ("token", "i", "j", "side", "cid", "n", "pos", "comp")
 
     def pack(found):
         both = np.unique(np.concatenate(found), axis=0)  # lists of one passage have the same members
         return pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
     def stream(batches):
-        for token, cid, n, pos, comp in _list_stream(batches, ("token", "cid", "n", "pos", "comp")):
+        for cols in _list_stream(batches, names, 3):
+            token, i, j = cols[:3]
             found, size = [], 0
-            begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            begins = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             for lo, hi in zip(begins, np.append(begins[1:], len(token))):
-                c, comps = cid[lo:hi], comp[lo:hi]
+                side, c, n, pos, comps = (x[lo:hi] for x in cols[3:])
                 if (comps == comps[0]).all():
                     continue
-                # groups of one size and place; members are expanded for group pairs that fit only
-                shape, group = np.unique(np.stack([n[lo:hi], pos[lo:hi]], axis=1), axis=0, return_inverse=True)
-                by = np.argsort(group.ravel(), kind="stable")
-                edge = np.searchsorted(group.ravel()[by], np.arange(len(shape) + 1))
-                for i in range(len(shape)):
-                    fit = np.flatnonzero(_fits(shape[i, 0], shape[i, 1], shape[i:, 0], shape[i:, 1])) + i
+                same_block = i[lo] == j[lo]
+                # sets of one size and place are looked at together; members are expanded for pairs of shapes that fit only
+                shape, of = np.unique(np.stack([n, pos.astype(np.int64)], axis=1), axis=0, return_inverse=True)
+                by = np.argsort(of.ravel(), kind="stable")
+                edge = np.searchsorted(of.ravel()[by], np.arange(len(shape) + 1))
+                for k in range(len(shape)):
+                    fit = np.flatnonzero(_fits(shape[k, 0], shape[k, 1], shape[k:, 0], shape[k:, 1])) + k
                     if not len(fit):
                         continue
-                    others = np.concatenate([by[edge[j] : edge[j + 1]] for j in fit])
-                    for x in by[edge[i] : edge[i + 1]]:
-                        y = others[comps[others] != comps[x]]
+                    others = np.concatenate([by[edge[f] : edge[f + 1]] for f in fit])
+                    for x in by[edge[k] : edge[k + 1]]:
+                        far = comps[others] != comps[x]
+                        y = others[far if same_block else far & (side[others] != side[x])]
                         if len(y):
                             found.append(np.stack([np.minimum(c[x], c[y]), np.maximum(c[x], c[y])], axis=1))
                             size += len(y)
-                            if size > 1 << 20:
+                            if size > 1 << 19:
                                 yield pack(found)
                                 found, size = [], 0
             if found:
                 yield pack(found)
 
-    return members.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(stream, _PAIR).distinct()
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(stream, _PAIR).distinct()
 
 
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -322,7 +346,7 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """(a, b, linked) for pairs of class ids, by the exact size of the intersection."""
+    """(a, b, linked) for pairs of class ids, by the exact size of the intersection of their shingles, compared as words."""
     # the end that more pairs name leads, so that a text is sent to few places
     ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).groupBy("cid").count()
     weighed = pairs.join(ends.toDF("a", "na"), "a").join(ends.toDF("b", "nb"), "b")
@@ -336,19 +360,18 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, cfg: JoinConfi
     rows = _numbered(docs).join(places, "rk").select("text", "cid", F.explode("places").alias("p")).select("text", "cid", "p.*")
 
     def check(batches):
-        now, lead = None, None
-        for batch in byte_chunks(batches, 8 << 20):
+        now, lead = None, set()
+        for batch in byte_chunks(batches, 2 << 20):
             a, b, linked = [], [], []
-            sets = shingle_sets(batch.column("text").to_pylist())
-            for h, cid, leader, salt, role in zip(sets, *(batch.column(c).to_pylist() for c in ("cid", "leader", "salt", "role"))):
+            for words, cid, leader, salt, role in zip(text_words(batch.column("text").to_pylist()), *(batch.column(c).to_pylist() for c in ("cid", "leader", "salt", "role"))):
+                own = word_shingles(words)
                 if role == 0:
-                    now, lead = (leader, salt), h
+                    now, lead = (leader, salt), own
                     continue
                 assert now == (leader, salt), "a leader comes before its partners"
-                both = len(np.intersect1d(lead, h, assume_unique=True))
                 a.append(min(cid, leader))
                 b.append(max(cid, leader))
-                linked.append(both >= need(len(lead), len(h)))
+                linked.append(len(own & lead) >= need(len(lead), len(own)))
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     dealt = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role", "cid")
@@ -358,7 +381,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, cfg: JoinConfi
 def _placed(docs: DataFrame, cfg: JoinConfig) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows, and (d1, d2, component_id, keeper) for each distinct set that is not empty."""
     spark = docs.sparkSession
-    sets = stage(document_sets(docs, shingle_counters(docs)), "sets")[0]
+    sets = stage(document_sets(docs, shingle_counters(docs), cfg), "sets")[0]
     # A doc_id names a class unless it is null or its rows hold different sets.
     mixed = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("d1") != F.max("d1")).alias("mixed")).where("mixed")
     mixed = stage(mixed.select(F.col("doc_id").alias("mixed_id")), "repeated-ids")[0]
@@ -368,21 +391,42 @@ def _placed(docs: DataFrame, cfg: JoinConfig) -> tuple[DataFrame, DataFrame]:
         plain = F.when(F.col("mixed_id").isNull(), F.col("doc_id"))
     keyed = known.where("n > 0").withColumn("rid", F.coalesce(plain, F.xxhash64("d1", "d2")))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "rk")).alias("least")
-    classes = keyed.groupBy("d1", "d2").agg(least, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = stage(classes.select("d1", "d2", F.col("least.rid").alias("cid"), F.col("least.rk").alias("rk"), "least", "n", "prefix"), "classes")[0]
+    classes = keyed.groupBy("d1", "d2").agg(least, *[F.first(c).alias(c) for c in ("n", "g1", "g2", "prefix", "hot")])
+    classes, p_classes = stage(classes.select("d1", "d2", F.col("least.rid").alias("cid"), F.col("least.rk").alias("rk"), "least", "n", "g1", "g2", "prefix", "hot"), "classes")
+    # sets of one size and prefix are one group, named by its smallest class
+    shared = classes.groupBy("n", "g1", "g2").agg(F.min("cid").alias("gid"), F.count("*").alias("size")).where("size > 1")
+    grouped = stage(classes.select("cid", "n", "g1", "g2").join(shared, ["n", "g1", "g2"]).select("gid", "cid", "n"), "group-members")[0]
+    any_group = not grouped.isEmpty()
     release(spark)
-    postings = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "cid", "n", "pos")
-    first, p_first = stage(candidates(postings, cfg), "candidates")
+    follows = grouped.where("gid <> cid").select("cid")
+    firsts = classes.join(bounded_broadcast(follows, 1_000_000), "cid", "left_anti")
+    postings = firsts.select(F.col("cid").alias("gid"), "n", (F.size("prefix") - F.col("hot")).alias("cold"), F.posexplode("prefix").alias("pos", "token"))
+    cold, p_cold = stage(group_pairs(postings.where("pos < cold").select("token", "gid", "n", "pos"), cfg), "lists")
     release(spark)
-    pairs, p_pairs = stage(first.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
-    likely, p_likely = stage(plausible(pairs, classes), "likely")
+    hot, p_hot = stage(postings.where("pos >= cold").select("token", "gid", "n", "pos"), "hot-lists")
+    met = cold.where("a IS NOT NULL").select("a", "b")
+    met = met.distinct() if hot.isEmpty() else met.union(hot_pairs(hot, cfg)).distinct()
+    met, p_met = stage(plausible(met, classes), "met")
     release(spark)
-    checked, p_checked = stage(verify(likely, classes, docs, cfg), "checked")
+    inside = grouped.where("gid <> cid").select(F.col("gid").alias("a"), F.col("cid").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stage(met.union(inside).distinct(), "pairs")[0] if any_group else met
+    checked, p_checked = stage(verify(pairs, classes, docs, cfg), "checked")
     release(spark)
     labels = components(checked.where("linked"))
-    members = first.where("token IS NOT NULL").select("token", "cid", "n", "pos")
+    # second round: members of long lists, of groups, and of pairs of groups, that are still in different components
+    lists = cold.where("token IS NOT NULL").select("token", "gid", "n", "pos").unionByName(hot)
+    members = lists.withColumnRenamed("gid", "cid")
+    if any_group:  # all members of a group take its place
+        in_group = bounded_broadcast(grouped.select(F.col("gid").alias("of"), F.col("cid").alias("member")), 1_000_000)
+        expand = lambda rows: rows.join(in_group, F.col("gid") == F.col("of"), "left").select("token", F.coalesce("member", "gid").alias("cid"), "n", "pos")
+        heads = bounded_broadcast(grouped.select(F.col("gid").alias("head")).distinct(), 1_000_000)
+        wide = met.join(heads, F.col("a") == F.col("head"), "left_semi").union(met.join(heads, F.col("b") == F.col("head"), "left_semi"))
+        ends = wide.select(F.xxhash64("a", "b").alias("token"), F.explode(F.array("a", "b")).alias("gid")).join(classes.select(F.col("cid").alias("gid"), "n"), "gid")
+        within = grouped.select(F.xxhash64("gid").alias("token"), "cid", "n", F.lit(0).alias("pos"))
+        members = expand(lists).unionByName(expand(ends.withColumn("pos", F.lit(0)))).unionByName(within).distinct()
     placed = members.join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
-    more, p_more = stage(plausible(unfinished_pairs(placed).join(pairs, ["a", "b"], "left_anti"), classes), "pairs-2")
+    placed, p_placed = stage(placed, "placed")
+    more, p_more = stage(plausible(unfinished_pairs(placed, cfg).join(pairs, ["a", "b"], "left_anti"), classes), "pairs-2")
     release(spark)
     if not more.isEmpty():
         again = stage(verify(more, classes, docs, cfg), "checked-2")[0]
@@ -391,7 +435,7 @@ def _placed(docs: DataFrame, cfg: JoinConfig) -> tuple[DataFrame, DataFrame]:
     lowest = own.groupBy("label").agg(F.min("least").alias("lowest"))
     of_class = own.join(lowest, "label").select("d1", "d2", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.rk").alias("keeper"))
     of_class = stage(of_class, "components")[0]
-    release(spark, p_first, p_pairs, p_likely, p_checked, p_more)
+    release(spark, p_classes, p_cold, p_hot, p_met, p_checked, p_placed, p_more)
     return sets, of_class
 
 

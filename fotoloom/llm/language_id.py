@@ -304,6 +304,19 @@ def classify(docs: DataFrame, model: LanguageModel) -> tuple[DataFrame, str]:
     return out.select("doc.*", F.struct("lang_pred", "score").alias(name)), name
 
 
+def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that the network rejects: those it gives no language with at least ``min_score``.
+
+    Half is a majority: no other language, nor all others together, can be as likely. Where no row has a
+    language to learn from nothing can be told, and only texts without a letter go.
+    """
+    model = train_language_model(docs)
+    if model.net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    out, name = classify(docs, model)
+    return out.where((F.col(f"{name}.lang_pred") != UNDETERMINED) & (F.col(f"{name}.score") >= min_score)).drop(name)
+
+
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out, name = classify(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), train_language_model(docs))

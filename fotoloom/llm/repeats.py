@@ -182,16 +182,9 @@ class ByteUnits:
 class WordUnits:
     """Units are words, as 64-bit hashes of their bytes."""
 
-    def __init__(self):
-        self.memo: dict[bytes, int] = {}
-
     def of(self, text: bytes) -> np.ndarray:
-        words, memo = text.split(), self.memo
-        if len(memo) > 500_000:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        words = text.split()
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
     def cut(self, text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
         words = text.split()

@@ -52,14 +52,47 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,short", [(1, 8), (2, 2)])
-def test_components_against_brute_force(spark, seed, short):
+@pytest.mark.parametrize("seed,cfg", [(1, JoinConfig()), (2, JoinConfig(short_list=2, partners_of_salt=3, list_rows=4, block_rows=7))])
+def test_components_against_brute_force(spark, seed, cfg):
     rows = corpus(seed)
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, cid int").repartition(3)
-    got = near_duplicate_components(df, JoinConfig(short_list=short, partners_of_salt=3)).collect()
+    got = near_duplicate_components(df, cfg).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
+def test_groups_of_one_prefix(spark):
+    """Many sets share their prefix and size; some link to their group's first member, some only to others, some to none."""
+    r = random.Random(8)
+    word = lambda: f"v{r.randrange(10**6)}"
+    rows, common = [], [[word() for _ in range(30)] for _ in range(4)]
+    for k in range(5):
+        base = [word() for _ in range(60)]
+        for i in range(30):
+            w = list(base)
+            w[r.randrange(60)] = f"edit{r.randrange(3)}"
+            rows.append((1000 * k + i, " ".join(w + (r.choice(common) if i % 2 else []))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for cfg in (JoinConfig(short_list=3), JoinConfig(list_rows=4, block_rows=5)):
+        got = near_duplicate_components(df, cfg).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+
+def test_words_are_told_apart(spark):
+    # words of the Thue-Morse sequence and its complement: sums of powers can't tell them apart
+    morse = lambda n, flip: "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+    rows = [(10 * n + flip, morse(n, flip)) for n in (64, 1024, 2048, 4096) for flip in (0, 1)]
+    rows += [(7, "long " * 50_000), (8, "long " * 60_000), (9, "x" * 1_000_000 + " tail of a text"), (6, "x" * 1_000_000 + " tail of a text")]
+    got = near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+
+def test_one_stays_of_null_ids(spark):
+    rows = [(None, "one two three four five six"), (None, "one two three four five six"), (None, "one two three four five SIX"), (None, "something else that is quite alone here"), (None, None), (None, None), (3, ""), (4, "one two three four five six")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, rk string")
+    kept = sorted(((r.doc_id, r.text) for r in drop_near_duplicates(df).collect()), key=str)
+    assert kept == sorted([rows[3], rows[4], rows[5], rows[6], rows[7]], key=str)
+
+
 def test_one_stays(spark):
     rows = [r for r in corpus(3) if r[0] is not None and r[0] not in (5, 90)]
     df = spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id long, text string")
