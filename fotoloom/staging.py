@@ -9,7 +9,6 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,13 @@ from pyspark.sql import functions as F
 
 
 def stage_root(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    """The shared folder. Without the setting, a folder of this machine will do only where this machine is all there is."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return root
 
 
 def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -35,12 +40,10 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 def release(spark: SparkSession, *paths: str) -> None:
-    """Delete staged tables and let Spark drop the files of shuffles that are dead."""
+    """Delete staged tables, and let Spark's cleaner see which shuffles are dead, so that executors can drop their files."""
     drop(spark, *paths)
-    for _ in range(3):  # the cleaner meets a shuffle only after the plans that hold it are gone
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.4)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
