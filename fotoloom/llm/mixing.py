@@ -17,14 +17,14 @@ whose total is nearest to the target is used; each draw is still a hash compared
 with the fraction, and reruns agree.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-ordered last; a null doc_id is hashed as the empty string; rows that repeat a doc_id
-share its decision; a source of size 0 has target 0 and is not taken; an empty table
-gives an empty result. Columns other than those named are carried through ``mix``;
-a clashing input column named ``copies`` is replaced.
+ordered last; a document of null doc_id is drawn by its text; rows that repeat a doc_id
+(or a text under null) share its decision; a source of size 0 has target 0 and is not taken; an empty table
+gives an empty result. All columns are carried through ``mix``, whatever their names: what the plan adds is one
+struct, under a name that no column has.
 
 Scale: documents are never shuffled. The only shuffles carry one row per source (and
 trial) per task. The plan has one row per source; it is broadcast after its row count
-is checked, else joined by shuffle.
+is checked, else joined by shuffle. Sources are ranked by windows in one task: rows there are sources, never documents.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, bounded_broadcast, stage
+from .shared import WORD, bounded_broadcast, free_name, stage
 
 #: Beyond this many sources the plan is joined by shuffle.
 MAX_BROADCAST_SOURCES = 100_000
@@ -53,10 +53,27 @@ def words_in(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def _uniform(doc_id: Column, trial: Column, seed: str) -> Column:
+def draw_name(doc_id: Column, text: Column) -> Column:
+    """What a document is drawn by: its id, or a digest of its text where it has none."""
+    return F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _uniform(name: Column, trial: Column, seed: str) -> Column:
     """52 hash bits as a double in [0, 1)."""
-    name = F.concat(F.lit(f"{seed}:"), trial.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    drawn = F.concat(F.lit(f"{seed}:"), trial.cast("string"), F.lit(":"), name)
+    return F.conv(F.substring(F.md5(drawn), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def _copies(name: Column, rate: Column, trial: Column, cfg: MixConfig) -> Column:
+    """``floor(rate)`` copies, and one more with the fraction as its probability."""
+    extra = F.when(_uniform(name, trial, cfg.seed) < rate - F.floor(rate), 1).otherwise(0)
+    return (F.floor(rate) + extra).cast("long")
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, name, source, size) for every row of ``docs``, staged: texts are read once."""
+    text = F.col("text")
+    return stage(docs.select("doc_id", draw_name(F.col("doc_id"), text).alias("name"), "source", words_in(text).alias("size")), "mix-sizes")[0]
 
 
 def source_targets(sized: DataFrame, cfg: MixConfig) -> DataFrame:
@@ -76,53 +93,47 @@ def source_targets(sized: DataFrame, cfg: MixConfig) -> DataFrame:
     return out.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def mix_plan(docs: DataFrame, cfg: MixConfig = MixConfig(), sized: DataFrame | None = None) -> DataFrame:
-    """(source, source_size, target, rate, trial): what ``mix`` does with each source."""
-    if sized is None:
-        sized, _ = stage(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), "mix-sizes")
+def mix_plan(sized: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
+    """(source, source_size, target, rate, trial) from ``sizes()``: what ``mix`` does with each source."""
     targets, _ = stage(source_targets(sized, cfg), "mix-targets")
     small = bounded_broadcast(targets.withColumnRenamed("source", "_source"), MAX_BROADCAST_SOURCES)
     drawn = sized.join(small, F.col("source").eqNullSafe(F.col("_source")))
-    drawn = drawn.select("source", "size", "doc_id", "target", "rate", F.explode(F.sequence(F.lit(0), F.lit(cfg.trials - 1))).alias("trial"))
-    taken = F.col("size") * _copies(cfg)
+    drawn = drawn.select("source", "size", "name", "target", "rate", F.explode(F.sequence(F.lit(0), F.lit(cfg.trials - 1))).alias("trial"))
+    taken = F.col("size") * _copies(F.col("name"), F.col("rate"), F.col("trial"), cfg)
     totals = drawn.groupBy("source", "trial").agg(F.sum(taken).alias("_taken"), F.first("target").alias("_target"))
     best = totals.groupBy("source").agg(F.min_by("trial", F.struct(F.abs(F.col("_taken") - F.col("_target")), F.col("trial"))).alias("trial"))
     best = best.withColumnRenamed("source", "_source")
-    return targets.join(best, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-
-
-def _copies(cfg: MixConfig) -> Column:
-    rate, whole = F.col("rate"), F.floor("rate")
-    extra = F.when(_uniform(F.col("doc_id"), F.col("trial"), cfg.seed) < rate - whole, 1).otherwise(0)
-    return (whole + extra).cast("long")
+    return stage(targets.join(best, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), "mix-plan")[0]
 
 
-def with_copies(docs: DataFrame, plan: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
-    """``docs`` with the columns source_size, target and copies."""
-    plan, _ = stage(plan, "mix-plan")
-    small = bounded_broadcast(plan.withColumnRenamed("source", "_source"), MAX_BROADCAST_SOURCES)
-    docs = docs.drop("source_size", "target", "rate", "trial", "copies")
-    out = docs.join(small, F.col("source").eqNullSafe(F.col("_source")))
-    return out.withColumn("copies", _copies(cfg)).drop("_source", "rate", "trial")
+def with_plan(docs: DataFrame, plan: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the plan of its source as a struct, and that column's name."""
+    name = free_name(docs.columns, "plan")
+    small = bounded_broadcast(plan.select(F.struct(*plan.columns).alias(name)), MAX_BROADCAST_SOURCES)
+    return docs.join(small, F.col("source").eqNullSafe(F.col(f"{name}.source"))), name
 
 
 def mix(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as its source's rate says."""
-    out = with_copies(docs, mix_plan(docs, cfg), cfg).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out, plan = with_plan(docs, mix_plan(sizes(docs), cfg))
+    copies = _copies(draw_name(F.col("doc_id"), F.col("text")), F.col(f"{plan}.rate"), F.col(f"{plan}.trial"), cfg)
+    nth = free_name(out.columns, "copy")
+    # an empty sequence gives no row
+    return out.withColumn(nth, F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).drop(plan, nth)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     cfg = MixConfig()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized, _ = stage(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), "mix-sizes")
-    out = with_copies(sized, mix_plan(docs, cfg, sized), cfg)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    sized = sizes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out, plan = with_plan(sized, mix_plan(sized, cfg))
+    taken = F.col("size") * _copies(F.col("name"), F.col(f"{plan}.rate"), F.col(f"{plan}.trial"), cfg)
+    return out.select("doc_id", "size", f"{plan}.source_size", f"{plan}.target", taken.alias("taken"))
 
 
 OP2_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS name, source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
@@ -141,7 +152,7 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets
 ), draws AS (
   SELECT s.doc_id, s.size, r.source, r.source_size, r.target, k.trial,
-         CAST(floor(r.rate) AS BIGINT) + CASE WHEN CAST(('0x' || substr(md5('mix:' || k.trial || ':' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 13)) AS UBIGINT)::DOUBLE
+         CAST(floor(r.rate) AS BIGINT) + CASE WHEN CAST(('0x' || substr(md5('mix:' || k.trial || ':' || s.name), 1, 13)) AS UBIGINT)::DOUBLE
               / 4503599627370496.0 < r.rate - floor(r.rate) THEN 1 ELSE 0 END AS copies
   FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source, (SELECT unnest(range(32)) AS trial) k
 ), totals AS (
