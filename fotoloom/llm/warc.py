@@ -10,17 +10,21 @@ UUIDs of the source identifier and type, so reruns give the same records.
 Defined results: record types other than response give nothing; null or empty input
 gives nothing; a response whose HTTP head can't be read gives a metadata record with an
 ``error`` field and no conversion; so does a body that its content encoding can't undo.
+So do bytes that are no record: what a damaged
+or cut off gzip member leaves undecoded, and a record shorter than its Content-Length (what came before is derived as usual).
 A response without an identifier gets the UUID of its bytes. Missing source digests are
 computed, given ones are kept as they are, with a field that says whether they hold.
 A null url is an empty target URI; repeated rows give equal records; columns other than
 ``key`` and ``record`` are ignored.
 
-Scale: a map over the records, without a shuffle; a record is held in memory whole.
+Scale: a map over the records, without a shuffle; a record is held in memory whole. Reading a page takes time in
+proportion to its length, whatever is left open in it: a mark that isn't found ahead is not looked for again.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import gzip
 import hashlib
 import html
@@ -42,13 +46,16 @@ SCHEMA = (
     "content_length long, block_digest string, source_block_digest string, source_payload_digest string, record binary"
 )
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>|<![^>]*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[A-Za-z][^>]*>")
+#: What begins a stretch that is no text: a comment, a declaration, or an element whose content isn't shown.
+_HIDDEN = re.compile(r"<(?:(!--)|(!)|(script|style|noscript|template|head)(?![\w-]))", re.I)
+_TAG = re.compile(r"<(/?[A-Za-z][^\s/>]*)")
+_BREAKS = frozenset(
+    "address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul".split()
+)
 _BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE_END = re.compile(r"</title\s*>", re.I)
+_HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _META_CHARSET = re.compile(rb"<meta\b[^>]*?charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 _HEADER_CHARSET = re.compile(r"charset\s*=\s*\"?([\w.:-]+)", re.I)
 
@@ -57,10 +64,79 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+class _Ahead:
+    """``find`` for rising places: each mark is looked for once between two of its finds."""
+
+    def __init__(self, s: str):
+        self.s, self.known = s, {}
+
+    def find(self, mark, start: int) -> tuple[int, int]:
+        """(begin, end) of the next mark, a string or pattern, from ``start`` on; (-1, -1) if there is none."""
+        at = self.known.get(mark)
+        if at is None or 0 <= at[0] < start:
+            if isinstance(mark, str):
+                i = self.s.find(mark, start)
+                at = (i, i + len(mark)) if i >= 0 else (-1, -1)
+            else:
+                m = mark.search(self.s, start)
+                at = m.span() if m else (-1, -1)
+            self.known[mark] = at
+        return at
+
+
+def _shown(page: str) -> str:
+    """The page with a space for each comment, declaration and hidden element; those that never end stay."""
+    ahead, out, at, kept = _Ahead(page), [], 0, 0
+    while m := _HIDDEN.search(page, at):
+        end, at = -1, m.end()
+        if m[1]:
+            end = ahead.find("-->", m.end())[1]
+        if end < 0 and (m[1] or m[2]):
+            end = ahead.find(">", m.end())[1]
+        if m[3]:
+            opened = ahead.find(">", m.end())[1]
+            end = ahead.find(_closing(m[3].lower()), opened)[1] if opened >= 0 else -1
+        if end >= 0:
+            out += [page[kept : m.start()], " "]
+            kept = at = end
+    return "".join(out) + page[kept:]
+
+
+@functools.cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.I)
+
+
+def _tags(page: str):
+    """(name, start, end) of the tags of a page; what no > follows is none."""
+    ahead, at = _Ahead(page), 0
+    while m := _TAG.search(page, at):
+        end = ahead.find(">", m.end())[1]
+        if end < 0:
+            return
+        yield m[1].lower(), m.start(), end
+        at = end
+
+
 def plain_text(page: str) -> str:
     """The readable text of an HTML page: no comments, scripts or head; block elements end lines."""
-    s = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page.replace("\n", " "))))
-    return _LINES.sub("\n", _BLANK.sub(" ", html.unescape(s))).strip()
+    s, out, kept = _shown(page.replace("\n", " ")), [], 0
+    for name, start, end in _tags(s):
+        out += [s[kept:start], "\n" if name.lstrip("/") in _BREAKS else ""]
+        kept = end
+    return _LINES.sub("\n", _BLANK.sub(" ", html.unescape("".join(out) + s[kept:]))).strip()
+
+
+def title_and_links(page: str) -> tuple[str, list[str]]:
+    title, links = None, []
+    for name, start, end in _tags(page):
+        if name == "title" and title is None:
+            closed = _TITLE_END.search(page, end)
+            title = page[end : closed.start()] if closed else ""
+        elif name == "a" and (m := _HREF.search(page, start, end)):
+            links.append("".join(x or "" for x in m.groups()))
+    tidy = lambda x: " ".join(html.unescape(x).split())
+    return tidy(title or ""), [tidy(x) for x in links]
 
 
 def write_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -86,20 +162,49 @@ def _head_end(data: bytes, start: int) -> tuple[int, int]:
     return min(found, default=(-1, -1))
 
 
-def read_records(data: bytes):
-    """(headers, block) for each record of a WARC file's bytes, gzipped by record or plain."""
+def _inflate(data: bytes) -> tuple[bytes, bytes, str]:
+    """What the gzip members of ``data`` hold, the bytes that are left when one can't be read on, and why."""
+    out, rest = [], data
+    while rest[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(rest))
+        except zlib.error as e:
+            return b"".join(out), rest, f"damaged gzip member: {e}"
+        if not member.eof:
+            return b"".join(out), rest, "gzip member cut off"
+        rest = member.unused_data
+    return b"".join(out), b"", ""
+
+
+def decode_records(data: bytes):
+    """(headers, block, error) for each record of a WARC file's bytes, gzipped by record or plain; what is no record has an error."""
+    rest, error = b"", ""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data, rest, error = _inflate(data)
     at = data.find(b"WARC/")
+    if at < 0 and data.strip():
+        yield [("WARC-Type", "response")], data, "no WARC record"
     while at >= 0:
         end, block = _head_end(data, at)
         if end < 0:
+            yield [("WARC-Type", "response")], data[at:], error or "record head cut off"
             return
         headers = _fields(data[at:end].split(b"\n", 1)[-1])
         given = dict((k.lower(), v) for k, v in headers).get("content-length", "")
-        size = int(given) if given.isdigit() else len(data) - block
-        yield headers, data[block : block + size]
+        size = int(given) if given.isascii() and given.isdigit() else len(data) - block
+        if block + size > len(data):
+            yield headers, data[block:], error or "record cut off"
+            return
+        yield headers, data[block : block + size], ""
         at = data.find(b"WARC/", block + size)
+    if error:
+        yield [("WARC-Type", "response")], rest, error
+
+
+def read_records(data: bytes):
+    """(headers, block) of the records that can be read."""
+    return ((headers, block) for headers, block, error in decode_records(data) if not error)
 
 
 def _unchunk(body: bytes) -> bytes:
@@ -109,6 +214,8 @@ def _unchunk(body: bytes) -> bytes:
         if line < 0:
             return b"".join(out)
         size = int(body[at:line].split(b";")[0].strip() or b"0", 16)
+        if size < 0:
+            raise ValueError("chunk of negative size")
         if size == 0:
             return b"".join(out)
         out.append(body[line + 1 : line + 1 + size])
@@ -139,17 +246,19 @@ def _decode(body: bytes, headers: dict[str, str]) -> tuple[str, str]:
         return body.decode("utf-8", "replace"), "utf-8"
 
 
-def derive(headers: list[tuple[str, str]], block: bytes) -> list[dict]:
-    """The derived records of one response."""
+def derive(headers: list[tuple[str, str]], block: bytes, error: str = "") -> list[dict]:
+    """The derived records of one response; with an error that reading it met, only the metadata record that says so."""
     source = {k.lower(): v for k, v in headers}
     if source.get("warc-type", "").lower() != "response":
         return []
     rid = source.get("warc-record-id") or f"<urn:uuid:{uuid.uuid5(NAMESPACE, hashlib.sha256(block).hexdigest())}>"
     uri, date = source.get("warc-target-uri", ""), source.get("warc-date", DATE)
     end, at = _head_end(block, 0)
-    status, http, error, text, charset, raw = "", [], "", None, "", ""
+    status, http, text, charset, raw = "", [], None, "", ""
     body = block[at:] if end >= 0 else b""
-    if end < 0 or not block.startswith(b"HTTP/"):
+    if error:
+        pass
+    elif end < 0 or not block.startswith(b"HTTP/"):
         error = "no HTTP head"
     else:
         status = block[: block.find(b"\n")].strip().decode("utf-8", "replace")
@@ -163,9 +272,8 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[dict]:
     block_digest, payload_digest = source.get("warc-block-digest") or digest(block), source.get("warc-payload-digest") or digest(body)
     fields = [("source-record-id", rid), ("http-status", status), *(("source-header", f"{k}: {v}") for k, v in http), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("digests-hold", str(block_digest == digest(block) and payload_digest == digest(body)).lower())]
     if text is not None:
-        title = _TITLE.search(raw)
-        links = ("".join(m) for m in _LINK.findall(raw))
-        fields += [("charset", charset), ("title", " ".join(html.unescape(title[1]).split()) if title else ""), *(("outlink", " ".join(html.unescape(x).split())) for x in links)]
+        title, links = title_and_links(raw)
+        fields += [("charset", charset), ("title", title), *(("outlink", x) for x in links)]
     if error:
         fields.append(("error", " ".join(error.split())))
     names = {k: f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{rid} {k}')}>" for k in ("metadata", "conversion")}
@@ -211,7 +319,7 @@ def derivatives(records: DataFrame) -> DataFrame:
         for batch in byte_chunks(batches, 8 << 20):
             rows = []
             for data, key in zip(batch.column("record").to_pylist(), batch.column("key").to_pylist()):
-                rows += [{"key": key} | r for headers, block in read_records(data or b"") for r in derive(headers, block)]
+                rows += [{"key": key} | r for found in decode_records(data or b"") for r in derive(*found)]
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             yield pa.record_batch([pa.array([r[c] for r in rows], pa.int64() if c == "key" else kinds.get(c, pa.string())) for c in names], names=names)
 

@@ -1,8 +1,10 @@
 import gzip
 import html.parser
+import random
+import time
 import zlib
 
-from fotoloom.llm.warc import derivatives, derive, digest, plain_text, read_records, response_record, responses, write_record
+from fotoloom.llm.warc import decode_records, derivatives, derive, digest, op6_warc, plain_text, read_records, response_record, responses, write_record
 
 
 class Plain(html.parser.HTMLParser):
@@ -82,3 +84,65 @@ def test_words_agree_with_a_parser(spark):
         p.feed(r.html)
         p.close()
         assert "".join("".join(p.out).split()) == "".join(plain_text(r.html).split())
+
+
+def test_damaged_records_are_reported(spark):
+    first, second = response_record(1, "http://a", "<p>one</p>"), response_record(2, "http://b", "<p>two</p>" * 500)
+    whole = gzip.compress(first) + gzip.compress(second)
+    damaged = bytearray(whole)
+    damaged[len(gzip.compress(first)) + 30] ^= 0xFF
+    cases = {1: whole, 2: whole[:-40], 3: bytes(damaged), 4: first + second[:-1000], 5: b"\x1f\x8b junk", 6: b"no record at all", 7: first + b"WARC/1.1\r\nno end", 8: b""}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "key long, record binary")
+    got = derivatives(df).collect()
+    count = lambda k, kind: sum(r.key == k and r.warc_type == kind for r in got)
+    assert [(count(k, "metadata"), count(k, "conversion")) for k in cases] == [(2, 2), (2, 1), (2, 1), (2, 1), (1, 0), (1, 0), (2, 1), (0, 0)]
+    errors = {r.key for r in got if r.warc_type == "metadata" and b"\r\nerror: " in bytes(r.record)}
+    assert errors == {2, 3, 4, 5, 6, 7}
+    assert [e for _, _, e in decode_records(whole)] == ["", ""]
+
+
+def test_open_marks_take_linear_time():
+    began = time.time()
+    for mark in ("<script>", "<!--", "<!", "<script", "<p", "<a href=", "<a href='", "<title>", "</script ", "<head><!--<style>", "<a href = ' <", "&", "&#"):
+        page = mark * (1_000_000 // len(mark))
+        plain_text(page)
+        derive([("WARC-Type", "response")], b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page.encode())
+    assert time.time() - began < 60
+
+
+def test_hidden_parts_against_patterns():
+    """Random pages against the plain patterns, which say the same but take quadratic time."""
+    import re
+
+    drop = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)(?![\w-])[^>]*>.*?</\1\s*>|<![^>]*>", re.S | re.I)
+    r = random.Random(3)
+    parts = ["<script>", "</script >", "<!--", "-->", "<p class=x>", "</p>", "a", " ", "<", ">", "<!DOCTYPE html>", "<STYLE>", "</style>", "<b>", "<head>", "</head>", "<header>", "&amp;", "\n"]
+    for _ in range(3000):
+        page = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        shown = re.sub(r"<(/?[A-Za-z][^\s/>]*)[^>]*>", lambda m: "\n" if m[1].lower().lstrip("/") in "p header body".split() else "", drop.sub(" ", page.replace("\n", " ")))
+        want = "\n".join(x for x in (" ".join(line.split()) for line in html.unescape(shown).split("\n")) if x)
+        assert "\n".join(x for x in (" ".join(line.split()) for line in plain_text(page).split("\n")) if x) == want, page
+
+
+def test_metadata_of_every_page(spark):
+    """The metadata record's fields against a model of their own, for all pages of the smallest table."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    got = {(r.page_id, r.warc_type): r for r in op6_warc(spark, "/root/testdata/sf0.001").collect()}
+    for p in rows:
+        if p.html is None:
+            assert (p.page_id, "metadata") not in got
+            continue
+        meta, conv = got[(p.page_id, "metadata")], got[(p.page_id, "conversion")]
+        body = p.html.encode()
+        head, _, fields = bytes(meta.record).decode().partition("\r\n\r\n")
+        lines = fields.rstrip("\r\n").split("\r\n")
+        known = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines if not x.startswith("outlink"))
+        assert known["source-record-id"] == meta.refers_to == conv.refers_to and known["http-status"] == "HTTP/1.1 200 OK" and known["digests-hold"] == "true"
+        assert known["source-payload-digest"] == digest(body) == meta.source_payload_digest
+        assert sum(x.startswith("source-header: ") for x in lines) == 2 and f"source-header: Content-Length: {len(body)}" in lines
+        links = []
+        reader = html.parser.HTMLParser()
+        reader.handle_starttag = lambda tag, attrs: links.extend(" ".join(v.split()) for k, v in attrs if tag == "a" and k == "href")
+        reader.feed(p.html)
+        assert [x.split(": ", 1)[1] for x in lines if x.startswith("outlink: ")] == links
+        assert f"WARC-Target-URI: {p.url}" in head.split("\r\n") and meta.target_uri == p.url
