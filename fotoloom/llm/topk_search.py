@@ -1,25 +1,27 @@
 """Exact top-k search by inner product: ball trees with branch and bound.
 
-Vectors are made integer (``floor(scale * x)``) and split into shards by a hash of
-their id; queries are split into blocks. A task gets one shard and one block, builds
-the shard's ball tree, and walks it for the whole block at once. A node is left out for a
+Vectors are made integer (``floor(scale * x)``) and split into shards by a hash. A task builds the
+ball tree of a shard once, then walks it for one block of queries after another. A node is left out for a
 query when the upper bound ``q . centre + |q| * radius`` of every product in its ball is
 below the query's k-th best score so far; the leaves that remain are visited in the
 order of their bounds, best first.
 
-The k-th score is shared: a first pass searches each query in one shard only (spread
-over shards), and the score it finds there is the starting bound in all the others. A
+The k-th score is shared: shards are searched in waves, a query's home shard first (spread over all shards), then
+a few more, then the rest, and the k-th score found so far is the starting bound of the next wave. A
 node that may hold an equal score is never left out, so ties go to smaller ids exactly.
 
+Bounds are doubles with a slack above their rounding; scores are whole numbers: doubles below 2^53, 64-bit integers
+below 2^62, integers of any size beyond, all through the same tree.
+
 Defined results: vectors that are null or hold a null or non-finite component take no
-part; products are taken between vectors of the same length only; repeated ids are
+part, nor do those of no component; products are taken between vectors of the same length only; a component beyond 64 bits stops at their ends, and so does a
+score (its rank is that of the true one); repeated ids are
 candidates each for itself, and a query never meets rows of its own id; repeated query
 rows give repeated ranks of one query only once (one row per distinct id and vector); a
-null id takes no part; an empty table gives an empty result.
+null id takes no part; an empty table gives an empty result. Other columns are not read.
 
-Scale: rows of the table are sent once for each block of queries, queries once for each
-shard, so both sides of a task are bounded by configuration. The result of a shard is k
-rows a query. Work is what a stated query set against all rows needs, less what the
+Scale: vectors are shuffled once a wave, queries once for each shard, so what a task holds is bounded by ``shard_rows`` and
+``block_rows``. The result of a shard is k rows a query. Work is what a stated query set against all rows needs, less what the
 bounds cut.
 """
 
@@ -28,7 +30,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ class SearchConfig:
     shard_rows: int = 16_384
     block_rows: int = 2_048
     leaf_rows: int = 128
+    #: shards that a query has been sent to when each wave but the last ends
+    waves: tuple[int, ...] = (1, 8)
 
 
 def integer_vectors(embeddings: DataFrame, scale: int) -> DataFrame:
@@ -49,7 +53,7 @@ def integer_vectors(embeddings: DataFrame, scale: int) -> DataFrame:
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != F.lit(float("inf"))))
     whole = F.transform(e, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    valid = embeddings.where(F.col("vec_id").isNotNull() & e.isNotNull() & fine)
+    valid = embeddings.where(F.col("vec_id").isNotNull() & (F.size(e) > 0) & fine)
     return valid.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("vector"), F.size(e).alias("dim"))
 
 
@@ -84,111 +88,146 @@ class BallTree:
         self.span.append((lo, hi))
 
 
-def search_shard(q_ids, queries, bound, ids, vectors, k: int, leaf_rows: int):
-    """(query row, id, score) of each query's k best in the shard, ties to smaller ids.
-
-    ``bound``: a score that k rows elsewhere are known to reach, or -inf; rows below it may be left out.
-    """
-    n, dim = vectors.shape
-    if float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(dim, 1) >= 2.0**53:
-        return _search_large(q_ids, queries, ids, vectors, k)  # doubles can't hold these products
-    points, probes = vectors.astype(np.float64), queries.astype(np.float64)
-    tree = BallTree(points, leaf_rows)
-    length = np.sqrt((probes**2).sum(axis=1))
-    # rounding in a bound is far below this slack
-    slack = 1.0 + 1e-9 * length * float(np.sqrt((points**2).sum(axis=1).max(initial=0.0)))
-    upper = probes @ tree.centre.T + length[:, None] * tree.radius[None, :] + slack[:, None]
-    best_s = np.full((len(queries), k), -np.inf)
-    best_i = np.full((len(queries), k), np.iinfo(np.int64).max)
-    kth = np.asarray(bound, dtype=np.float64).copy()
-    # branch: nodes reached by a query are those whose ancestors all pass its starting bound
-    alive = np.zeros(upper.shape, dtype=bool)
-    alive[:, 0] = upper[:, 0] >= kth
-    for node, left in enumerate(tree.left):
-        if left >= 0:
-            for child in (left, left + 1):
-                alive[:, child] = alive[:, node] & (upper[:, child] >= kth)
-    leaves = np.asarray([i for i, left in enumerate(tree.left) if left < 0])
-    reach = np.where(alive[:, leaves], upper[:, leaves], -np.inf)
-    ranked = np.argsort(-reach, axis=1, kind="stable")
-    for turn in range(len(leaves)):
-        leaf = ranked[:, turn]
-        hope = reach[np.arange(len(queries)), leaf]
-        going = np.flatnonzero((hope >= kth) & np.isfinite(hope))
-        if not len(going):
-            if not np.isfinite(reach[np.arange(len(queries)), leaf]).any():
+def _products(queries: np.ndarray, vectors: np.ndarray) -> type:
+    """The kind of number that holds the products exactly."""
+    most = int(np.abs(vectors.astype(np.float64)).max(initial=0)) * int(np.abs(queries.astype(np.float64)).max(initial=0)) * max(vectors.shape[1], 1)
+    return np.float64 if most < 1 << 53 else np.int64 if most < 1 << 62 else object
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows' k best (id, score), best first; of equal scores smaller ids."""
+    if scores.dtype == object:
+        top = np.asarray([sorted(range(len(s)), key=lambda j: (-s[j], i[j]))[:k] for i, s in zip(ids, scores)], np.int64).reshape(len(ids), -1)
+    else:
+        top = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(ids, top, axis=1), np.take_along_axis(scores, top, axis=1)
+
+
+class Shard:
+    """The vectors of a shard and their tree."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf_rows: int):
+        self.ids, self.vectors = ids, vectors
+        points = vectors.astype(np.float64)
+        self.tree = BallTree(points, leaf_rows)
+        self.longest = float(np.sqrt((points**2).sum(axis=1).max(initial=0.0)))
+
+    def search(self, q_ids: np.ndarray, queries: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, id, score) of each query's k best, ties to smaller ids.
+
+        ``bound``: a score that k rows elsewhere are known to reach, or -inf; rows below it may be left out.
+        """
+        tree, kind = self.tree, _products(queries, self.vectors)
+        probes = queries.astype(np.float64)
+        length = np.sqrt((probes**2).sum(axis=1))
+        # rounding in a bound or a score is far below this slack
+        slack = 1.0 + 1e-9 * length * self.longest
+        upper = probes @ tree.centre.T + length[:, None] * tree.radius[None, :] + slack[:, None]
+        exact_q, exact_v = queries.astype(kind), self.vectors.astype(kind)
+        never = -np.inf if kind is np.float64 else -(1 << 62) if kind is np.int64 else -(1 << 200)
+        best_s = np.full((len(queries), k), never, dtype=kind)
+        best_i = np.full((len(queries), k), np.iinfo(np.int64).max)
+        kth = bound.astype(np.float64) - slack
+        # branch: nodes reached by a query are those whose ancestors all pass its starting bound
+        alive = np.zeros(upper.shape, dtype=bool)
+        alive[:, 0] = upper[:, 0] >= kth
+        for node, left in enumerate(tree.left):
+            if left >= 0:
+                for child in (left, left + 1):
+                    alive[:, child] = alive[:, node] & (upper[:, child] >= kth)
+        leaves = np.asarray([i for i, left in enumerate(tree.left) if left < 0])
+        reach = np.where(alive[:, leaves], upper[:, leaves], -np.inf)
+        ranked = np.argsort(-reach, axis=1, kind="stable")
+        every = np.arange(len(queries))
+        for turn in range(len(leaves)):
+            leaf = ranked[:, turn]
+            hope = reach[every, leaf]
+            if not np.isfinite(hope).any():
                 break
-            continue
-        for one in np.unique(leaf[going]):
-            lo, hi = tree.span[leaves[one]]
-            rows = tree.order[lo:hi]
-            who = going[leaf[going] == one]
-            score = probes[who] @ points[rows].T
-            score = np.where(ids[rows][None, :] == q_ids[who][:, None], -np.inf, score)
-            some = (score >= kth[who][:, None]).any(axis=1) & (score.max(axis=1) > -np.inf)
-            who, score = who[some], score[some]
-            if not len(who):
-                continue
-            s = np.concatenate([best_s[who], score], axis=1)
-            i = np.concatenate([best_i[who], np.broadcast_to(ids[rows], score.shape)], axis=1)
-            top = np.lexsort((i, -s), axis=1)[:, :k]
-            best_s[who], best_i[who] = np.take_along_axis(s, top, axis=1), np.take_along_axis(i, top, axis=1)
-            kth[who] = np.maximum(kth[who], best_s[who, -1])
-    row, col = np.nonzero(np.isfinite(best_s))
-    return row, best_i[row, col], best_s[row, col].astype(np.int64)
-
-
-def _search_large(q_ids, queries, ids, vectors, k: int):
-    """The same by whole numbers of any size; products beyond 64 bits stop at its ends."""
-    row, got, score = [], [], []
-    for i, (q_id, q) in enumerate(zip(q_ids.tolist(), queries.tolist())):
-        products = [(-sum(a * b for a, b in zip(q, v)), j) for j, v in zip(ids.tolist(), vectors.tolist()) if j != q_id]
-        for s, j in sorted(products)[:k]:
-            row.append(i)
-            got.append(j)
-            score.append(min(max(-s, -(1 << 63)), (1 << 63) - 1))
-    return np.asarray(row, np.int64), np.asarray(got, np.int64), np.asarray(score, np.int64)
-
-
-def _pass(queries: DataFrame, vectors: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """(query_id, vec_id, score) from tasks of one (dim, shard, block) each."""
-    k, leaf_rows = cfg.k, cfg.leaf_rows
-
-    def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        q, v = np.stack(left["query"].to_numpy()), np.stack(right["vector"].to_numpy())
-        q_ids = left["query_id"].to_numpy()
-        row, ids, score = search_shard(q_ids, q.astype(np.int64), left["bound"].to_numpy(), right["vec_id"].to_numpy(), v.astype(np.int64), k, leaf_rows)
-        return pd.DataFrame({"query_id": q_ids[row], "vec_id": ids, "score": score})
-
-    return queries.groupBy("query_dim", "query_shard", "query_block").cogroup(vectors.groupBy("dim", "shard", "block")).applyInPandas(task, "query_id long, vec_id long, score long")
+            going = np.flatnonzero((hope >= kth) & np.isfinite(hope))
+            for one in np.unique(leaf[going]):
+                lo, hi = tree.span[leaves[one]]
+                rows = tree.order[lo:hi]
+                who = going[leaf[going] == one]
+                score = exact_q[who] @ exact_v[rows].T
+                score[self.ids[rows][None, :] == q_ids[who][:, None]] = never
+                some = (score.astype(np.float64) >= kth[who][:, None]).any(axis=1)
+                who, score = who[some], score[some]
+                if not len(who):
+                    continue
+                i = np.concatenate([best_i[who], np.broadcast_to(self.ids[rows], score.shape)], axis=1)
+                best_i[who], best_s[who] = _best(i, np.concatenate([best_s[who], score], axis=1), k)
+                kth[who] = np.maximum(kth[who], best_s[who, -1].astype(np.float64) - slack[who])
+        row, col = np.nonzero(best_s > never)
+        found = best_s[row, col]
+        if kind is object:
+            found = np.asarray([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in found], np.int64)
+        return row, best_i[row, col], found.astype(np.int64)
+
+
+def _matrix(column) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), -1)
+
+
+def _search(rows: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """(query_id, vec_id, score) for rows (dim, shard, role, id, vector, bound): a shard's vectors (role 0), then its queries."""
+
+    def run(batches):
+        now, parts, shard = None, [], None
+        for batch in batches:
+            key = np.stack([np.asarray(batch.column(c)) for c in ("dim", "shard", "role")], axis=1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+                if lo == hi:
+                    continue
+                dim, number, role = key[lo].tolist()
+                ids, vectors = np.asarray(batch.column("id").slice(lo, hi - lo)), _matrix(batch.column("vector").slice(lo, hi - lo))
+                if now != (dim, number):
+                    now, parts, shard = (dim, number), [], None
+                if role == 0:
+                    parts.append((ids, vectors))
+                    continue
+                if shard is None and parts:
+                    shard, parts = Shard(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), cfg.leaf_rows), []
+                if shard is None:
+                    continue
+                bound = batch.column("bound").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                for at in range(0, len(ids), cfg.block_rows):
+                    some = slice(at, at + cfg.block_rows)
+                    row, found, score = shard.search(ids[some], vectors[some], bound[some], cfg.k)
+                    yield pa.record_batch([pa.array(ids[some][row]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    dealt = rows.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "role")
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(embeddings: DataFrame, is_query: Column, cfg: SearchConfig = SearchConfig()) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``embeddings`` where ``is_query`` holds."""
     vectors = stage(integer_vectors(embeddings, cfg.scale), "topk-vectors")[0]
-    picked = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.col("dim").alias("query_dim")).dropDuplicates(["query_id", "query"])
-    n_all, n_queries = vectors.count(), vectors.where(is_query).count()
-    n_shards, n_blocks = max(1, -(-n_all // cfg.shard_rows)), max(1, -(-n_queries // cfg.block_rows))
-
-    def numbers(n: int) -> Column:
-        return F.sequence(F.lit(0), F.lit(n - 1))
-
-    blocked = picked.withColumn("query_block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(n_blocks)).cast("int"))
-    home = F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(n_shards)).cast("int")
-    sharded = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector", F.lit(2)), F.lit(n_shards)).cast("int")).withColumn("block", F.explode(numbers(n_blocks)))
+    n_shards = max(1, -(-vectors.count() // cfg.shard_rows))
+    shard = F.pmod(F.xxhash64("vec_id", "vector", F.lit(2)), F.lit(n_shards)).cast("int")
     never = F.lit(float("-inf"))
-    first = stage(_pass(blocked.withColumn("query_shard", home).withColumn("bound", never), sharded, cfg), "topk-home")[0]
-    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= cfg.k, F.min("score")).otherwise(None).cast("double").alias("bound"))
-    found = first
-    if n_shards > 1:
-        away = blocked.withColumn("home", home).join(kth, "query_id", "left").withColumn("bound", F.coalesce("bound", never))
-        away = away.withColumn("query_shard", F.explode(numbers(n_shards))).where("query_shard <> home").drop("home")
-        found = first.unionByName(_pass(away, sharded, cfg))
-    # at most k rows a query and shard come here
+    columns = ["dim", "shard", "role", "id", "vector", "bound"]
+    points = vectors.select("dim", shard.alias("shard"), F.lit(0).alias("role"), F.col("vec_id").alias("id"), "vector", never.alias("bound"))
+    picked = vectors.where(is_query).select(F.col("vec_id").alias("id"), "vector", "dim").dropDuplicates(["id", "vector"])
+    home = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n_shards))
+    # a query's best rows so far; at most k rows a query and shard come here
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.k).select("query_id", "rank", "vec_id", "score")
+    best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.k)
+    found, bounds, done = None, None, 0
+    for upto in sorted({min(w, n_shards) for w in cfg.waves} | {n_shards}):
+        sent = picked.withColumn("bound", never)
+        if bounds is not None:
+            sent = picked.join(bounds, picked["id"] == bounds["query_id"], "left").withColumn("bound", F.coalesce("bound", never)).drop("query_id")
+        places = F.transform(F.sequence(F.lit(done), F.lit(upto - 1)), lambda i: F.pmod(home + i, F.lit(n_shards)).cast("int"))
+        queries = sent.withColumn("role", F.lit(1)).withColumn("shard", F.explode(places)).select(*columns)
+        wave = _search(points.unionByName(queries), cfg)
+        found = best(wave if found is None else found.drop("rank").unionByName(wave))
+        done = upto
+        if done < n_shards:
+            found = stage(found, "topk-wave")[0]
+            bounds = found.where(F.col("rank") == cfg.k).select("query_id", F.col("score").cast("double").alias("bound"))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op4_topk_search(spark, sf_dir: str) -> DataFrame:
