@@ -25,10 +25,15 @@ def stage_root(spark: SparkSession) -> str:
     return root
 
 
-def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def new_path(spark: SparkSession, label: str) -> str:
+    """A place below the shared folder that nothing else uses."""
+    return f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back."""
-    path = f"{stage_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(df.sparkSession, label)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
