@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .repeats import NULL_ID, gram_hashes
-from .shared import bounded_broadcast, byte_chunks, release, stage
+from .shared import bounded_broadcast, byte_chunks, free_name, release, stage
 
 SHINGLE = 5
 COUNTERS = 1 << 24
@@ -450,16 +450,19 @@ def near_duplicate_components(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -
 def drop_near_duplicates(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id. Rows without words all stay."""
     sets, of_class = _placed(docs, cfg)
-    gone = sets.where("n > 0").join(of_class, ["d1", "d2"]).where("rk <> keeper").select(F.col("rk").alias("_gone")).distinct()
+    key = free_name(docs.columns, "row_key")
+    other = free_name([*docs.columns, key], "other_key")
+    gone = sets.where("n > 0").join(of_class, ["d1", "d2"]).where("rk <> keeper").select(F.col("rk").alias(other)).distinct()
     gone = bounded_broadcast(stage(gone, "near-duplicates")[0], 1_000_000)
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "text").alias("_rk")
-    kept = docs.select("*", key).join(gone, F.col("_rk") == F.col("_gone"), "left_anti")
-    if not sets.where("n > 0").groupBy("rk").count().where("count > 1").isEmpty():
-        # rows repeated whole: one of them stays, if it has words
-        again = sets.where("n > 0").groupBy("rk").count().where("count > 1").select(F.col("rk").alias("_rk"))
-        again = stage(again, "repeated-rows")[0]
-        kept = kept.join(again, "_rk", "left_anti").unionByName(kept.join(again, "_rk", "left_semi").dropDuplicates(["_rk"]))
-    return kept.drop("_rk")
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "text"))
+    kept = rows.join(gone, F.col(key) == F.col(other), "left_anti")
+    # rows repeated whole: one of them stays, if it has words
+    again = stage(sets.where("n > 0").groupBy("rk").count().where("count > 1").select(F.col("rk").alias(other)), "repeated-rows")[0]
+    if not again.isEmpty():
+        again = bounded_broadcast(again, 1_000_000)
+        once = kept.join(again, F.col(key) == F.col(other), "left_semi").dropDuplicates([key])
+        kept = kept.join(again, F.col(key) == F.col(other), "left_anti").unionByName(once)
+    return kept.drop(key)
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import bounded_broadcast, release, stage
+from ..staging import bounded_broadcast, new_path, release, stage
 
-__all__ = ["WORD", "BoundedMemo", "ascii_lower", "bounded_broadcast", "byte_chunks", "free_name", "release", "stage"]
+__all__ = ["WORD", "BoundedMemo", "ascii_lower", "bounded_broadcast", "byte_chunks", "free_name", "new_path", "release", "setting", "stage"]
 
 #: A word: a run of characters other than space, tab, LF, VT, FF and CR.
 #: ``bytes.split()`` splits at exactly these characters.
@@ -54,6 +54,12 @@ def byte_chunks(batches, limit: int, column: str | None = None, field: str | Non
         yield batch.slice(start)
 
 
+def setting(name: str, default: str) -> str:
+    """A setting of the running session, as the tokenizers' places are."""
+    session = SparkSession.getActiveSession()
+    return session.conf.get(name, default) if session is not None else default
+
+
 def free_name(taken: list[str], base: str) -> str:
     """``base``, with underscores before it until no column of ``taken`` has that name in any case."""
     used = {c.lower() for c in taken}
