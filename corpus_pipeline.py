@@ -4,7 +4,13 @@
 2. near_duplicates: one document of each group of near copies stays.
 3. decontaminate: documents that contain a benchmark item go.
 4. mix: documents are repeated to their source's target.
-5. tokens: the mixed corpus as fixed-stride token sequences in training order.
+5. tokens: the mixed corpus as fixed-stride token sequences in training order, written to shard files; the rows say where.
+
+Defined results, besides those of the operators: the first four stages return the columns they got, extra ones and
+clashing names included, and drop or repeat whole rows. Null, empty and letterless texts end at the first stage, so
+the later ones meet none; of rows repeated whole, one stays at the second; a null doc_id is kept like any other,
+and documents without an id are told apart by their text; a null source is mixed as a source of its own; an empty table stays empty
+and gives no shard.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from fotoloom.llm.jaccard_join import drop_near_duplicates
 from fotoloom.llm.language_id import keep_identified
 from fotoloom.llm.mixing import mix
 from fotoloom.llm.shared import stage
-from fotoloom.llm.token_output import sequences
+from fotoloom.llm.token_output import materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +42,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sequences(docs)
+    return materialise(docs)
 
 
 STAGES = [
