@@ -64,7 +64,7 @@ class JoinConfig:
     #: a list that may be longer is split over several tasks
     list_rows: int = 240
     #: rows of a list that one task compares with each other
-    block_rows: int = 2048
+    block_rows: int = 256
 
 
 def text_words(texts: list[bytes | None]) -> list[list[bytes]]:
