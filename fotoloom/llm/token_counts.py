@@ -13,8 +13,9 @@ piece starts first wins. Where no one-character piece starts, an unknown piece m
 at the lowest score less 10. Neighbouring unknown pieces are one piece; with byte
 fallback such a run counts as its UTF-8 bytes if the vocabulary has all of them.
 
-Since stretches are independent, their counts are kept in a bounded memo, and a text
-costs one look-up for each of its words.
+Since stretches are independent, their counts are kept in a memo bounded by bytes (a task's own, dropped with it), and a text
+costs one look-up for most of its words. A long stretch without a space is read in one pass that
+remembers only as many positions as the longest piece has characters.
 
 Defined results: null and empty texts have 0 tokens; repeated rows are counted each
 for itself; only doc_id and text are read, other columns don't matter.
@@ -32,12 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_chunks
+from .shared import BoundedMemo, byte_chunks, setting
 
 SPACE = "\u2581"
 UNKNOWN_PENALTY = 10.0
-MEMO_ENTRIES = 500_000
-DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+VOCABULARY_SETTING, DEFAULT_VOCABULARY = "spark.fotoloom.tokenizer.vocabulary", "/opt/tokenizers/piece_bpe_32k.model"
 
 
 @dataclass(frozen=True)
@@ -49,78 +49,88 @@ class Vocabulary:
     byte_fallback: bool = True
 
     @classmethod
-    def from_sentencepiece(cls, path: str = DEFAULT_VOCABULARY) -> Vocabulary:
+    def from_sentencepiece(cls, path: str | None = None) -> Vocabulary:
         import sentencepiece
 
+        path = path or setting(VOCABULARY_SETTING, DEFAULT_VOCABULARY)
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         return cls(tuple((sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size())), sp.unk_id())
 
 
-class Counter(dict):
-    """Maps a stretch that starts with U+2581 (left off) to its number of pieces."""
+class Counter:
+    """Counts pieces by the vocabulary's automaton."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
         self.automaton = ahocorasick.Automaton()
         for i, (piece, score) in enumerate(vocabulary.pieces):
             if piece:
                 self.automaton.add_word(piece, (len(piece), float(score), i == vocabulary.unk_id))
         self.automaton.make_automaton()
+        self.longest = max((len(p) for p, _ in vocabulary.pieces), default=1)
         self.unknown = min((s for _, s in vocabulary.pieces), default=0.0) - UNKNOWN_PENALTY
         names = {p for p, _ in vocabulary.pieces}
         self.bytes = {b for b in range(256) if f"<0x{b:02X}>" in names} if vocabulary.byte_fallback else set()
 
-    def __missing__(self, stretch: str) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        n = self[stretch] = self.pieces(SPACE + stretch)
-        return n
-
     def pieces(self, s: str) -> int:
         """The number of pieces on the best path through ``s``."""
-        n = len(s)
-        ends: list[list[tuple[int, float, bool]]] = [[] for _ in range(n + 1)]
-        single = bytearray(n + 1)
-        for last, (size, score, is_unk) in self.automaton.iter(s):
-            start = last + 1 - size
-            ends[last + 1].append((start, score, is_unk))
-            if size == 1:
-                single[start] = 1
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
-        # start of the run of unknown characters that ends here, or -1
-        run = [-1] * (n + 1)
-        # every prefix can be reached: where nothing matches, a single unknown character does
-        for end in range(1, n + 1):
-            arcs = ends[end]
-            if not single[end - 1]:
+        if not s:
+            return 0
+        # score, count and start of the unknown run (or -1) at each of the last positions, by position modulo their number
+        keep = self.longest + 1
+        best, count, run = [0.0] * keep, [0] * keep, [-1] * keep
+        # an unknown run is counted from the count at its start
+        before = [0] * keep
+        matches = self.automaton.iter(s)
+        last, found = next(matches, (len(s), None))
+        for end in range(1, len(s) + 1):
+            arcs = []
+            while last == end - 1:
+                size, score, is_unk = found
+                arcs.append((end - size, score, is_unk))
+                last, found = next(matches, (len(s), None))
+            # every prefix can be reached: where no one-character piece does, a single unknown character does
+            if not any(start == end - 1 for start, _, _ in arcs):
                 arcs.append((end - 1, self.unknown, True))
             arcs.sort()
             top = None
             for start, score, is_unk in arcs:
-                total = score + best[start]
+                total = score + best[start % keep]
                 if top is None or total > top:
                     top, came, unk = total, start, is_unk
-            best[end] = top
-            if not unk:
-                count[end] = count[came] + 1
+            at, came_at = end % keep, came % keep
+            if unk:
+                first, base = (run[came_at], before[came_at]) if run[came_at] >= 0 else (came, count[came_at])
+                n = base + self._unknown_run(s, first, end, came, count[came_at] - base if first != came else 0)
+                best[at], count[at], run[at], before[at] = top, n, first, base
             else:
-                first = run[came] if run[came] >= 0 else came
-                run[end] = first
-                count[end] = count[first] + self._unknown_run(s[first:end])
-        return count[n]
+                best[at], count[at], run[at] = top, count[came_at] + 1, -1
+        return count[len(s) % keep]
+
+    def _unknown_run(self, s: str, first: int, end: int, came: int, had: int) -> int:
+        """The pieces of the unknown run ``s[first:end]``, of which ``s[first:came]`` made ``had``."""
+        if not self.bytes:
+            return 1
+        raw = s[came:end].encode("utf-8", "surrogatepass")
+        if len(self.bytes) == 256:
+            return had + len(raw)
+        whole = s[first:end].encode("utf-8", "surrogatepass")
+        return len(whole) if all(b in self.bytes for b in whole) else 1
 
-    def _unknown_run(self, s: str) -> int:
-        raw = s.encode("utf-8", "surrogatepass")
-        return len(raw) if self.bytes and all(b in self.bytes for b in raw) else 1
 
-    def count(self, text: str) -> int:
+def counting(counter: Counter):
+    """A function that counts a text's pieces, with a memo of its own."""
+    memo = BoundedMemo(lambda stretch: counter.pieces(SPACE + stretch), 64 << 20)
+
+    def count(text: str | None) -> int:
         if not text:
             return 0
         s = text.replace(" ", SPACE)
-        return sum(map(self.__getitem__, (s[1:] if s[0] == SPACE else s).split(SPACE)))
+        return sum(map(memo.__getitem__, (s[1:] if s[0] == SPACE else s).split(SPACE)))
+
+    return count
 
 
-#: The counter of this worker.
+#: The counter of this worker. It keeps nothing of the texts.
 _counters: dict[Vocabulary, Counter] = {}
 
 
@@ -132,10 +142,10 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataF
         if vocab.value not in _counters:
             _counters.clear()
             _counters[vocab.value] = Counter(vocab.value)
-        counter = _counters[vocab.value]
-        for batch in byte_chunks(batches, 8 << 20):
-            texts = (None if t is None else t.decode("utf-8", "replace") for t in batch.column("text").to_pylist())
-            yield pa.record_batch([batch.column("doc_id"), pa.array([counter.count(t) if t else 0 for t in texts], pa.int64())], names=["doc_id", "n_tokens"])
+        pieces = counting(_counters[vocab.value])
+        for batch in byte_chunks(batches, 4 << 20):
+            texts = ((t or b"").decode("utf-8", "replace") for t in batch.column("text").to_pylist())
+            yield pa.record_batch([batch.column("doc_id"), pa.array(map(pieces, texts), pa.int64())], names=["doc_id", "n_tokens"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return source.mapInArrow(count, "doc_id long, n_tokens long")
