@@ -6,17 +6,18 @@ have equal anchors at equal places. A document's windows thus fall into runs of
 anchor each, on average one run for every ``(window - gram + 2) / 2`` units, and only runs that
 share an anchor can hold equal windows. That is all the shuffle has to carry:
 
-1. ``anchor_rows``: each run as (anchor hash, hash of the run's units, document, place).
+1. ``anchor_rows``: each run as (anchor hash, 128-bit digest of the run's units, document, place).
    Runs that repeat inside a batch are settled on the spot, so that a run copied into a
    third of all documents leaves each batch once.
 2. ``settle_by_anchor``: rows partitioned and sorted by anchor are streamed. A run equal to an
-   earlier one is settled: all its windows repeat. Only runs that share an anchor but are
-   not equal (the ends of repeats) have to be looked at.
+   earlier one is settled: all its windows repeat. Of equal runs the first stands for all from here on; what it shares with
+   runs that have its anchor but are not equal (the ends of repeats) has to be looked at. Two runs that differ would be taken for equal
+   with a chance of 2^-128: for the 10^13 runs of 100 TB, 10^26 pairs at most, that is 3 in 10^13.
 3. ``fetch_contexts``: the units of those runs are cut from the texts. They form shards: whole
    anchors, or, for an anchor with more than ``shard_runs`` runs, numbered parts of one.
    The operator compares the windows inside a shard by its own method.
-4. ``merge_parts``: where an anchor has several parts, each part's distinct windows, sorted, are
-   merged by binary search.
+4. ``merge_parts``: where an anchor has several parts, the sorted distinct windows of each part are cut into
+   buckets, and a bucket's lists are merged one into the other by binary search.
 5. ``collect_removals``: settled runs and windows, one list for each document.
 
 Order of documents: by doc_id, null first. A document is a doc_id and ``tie``, the 64-bit
@@ -39,6 +40,8 @@ from .shared import byte_chunks, release, stage
 NULL_ID = -(1 << 63)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PLACE = np.uint64(0xFFFFFF)
+#: Units of a very long text that are looked at in one go; places inside have to fit ``_PLACE``.
+STRETCH = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -165,6 +168,18 @@ def repeats_earlier(kind: np.ndarray, doc: np.ndarray, did: np.ndarray, lo: np.n
     return gone
 
 
+def _kinds(*columns: np.ndarray) -> np.ndarray:
+    """Numbers of the distinct rows of the columns."""
+    order = np.lexsort(columns[::-1])
+    fresh = np.zeros(len(order), bool)
+    for c in columns:
+        own = c[order]
+        fresh[1:] |= own[1:] != own[:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(fresh)
+    return out
+
+
 def _pack(lo, a, n):
     return (lo << 16) | (a << 8) | n
 
@@ -199,8 +214,8 @@ def _identified(docs: DataFrame) -> DataFrame:
     )
 
 
-_ROW = "key long, run long, did long, tie long, pos long"
-_NAMES = ["key", "run", "did", "tie", "pos"]
+_ROW = "key long, run long, more long, did long, tie long, pos long"
+_NAMES = ["key", "run", "more", "did", "tie", "pos"]
 
 
 def _batch(*columns) -> pa.RecordBatch:
@@ -208,7 +223,9 @@ def _batch(*columns) -> pa.RecordBatch:
 
 
 def anchor_rows(docs: DataFrame, units, cfg: RepeatConfig) -> DataFrame:
-    """Runs as (key, run, did, tie, pos); those settled inside a batch have run = 0 and any key."""
+    """Runs as (key, run, more, did, tie, pos), digests in two halves; those settled inside a batch have run = 0 and any key."""
+
+    stretch = STRETCH
 
     def scan(batches):
         for batch in byte_chunks(batches, cfg.chunk_bytes):
@@ -217,11 +234,11 @@ def anchor_rows(docs: DataFrame, units, cfg: RepeatConfig) -> DataFrame:
             for a in range(0, len(texts), 4096):
                 some = texts[a : a + 4096]
                 ends = np.cumsum([len(t) for t in some])
-                if int(ends[-1]) < 1 << 24:
+                if int(ends[-1]) < 2 * stretch:
                     yield from runs(np.concatenate(some), ends, did[a : a + 4096], tie[a : a + 4096])
                 else:  # a very long text by itself, in overlapping stretches
                     for i, t in enumerate(some):
-                        step = (1 << 23) - cfg.window
+                        step = stretch - cfg.window
                         for at in range(0, max(len(t) - cfg.window + 1, 1), step):
                             part = t[at : at + step + cfg.window - 1]
                             yield from runs(part, np.asarray([len(part)]), did[a + i : a + i + 1], tie[a + i : a + i + 1], at)
@@ -232,15 +249,16 @@ def anchor_rows(docs: DataFrame, units, cfg: RepeatConfig) -> DataFrame:
             return
         doc = np.searchsorted(ends, lo, side="right")
         raw, size = memoryview(np.ascontiguousarray(flat).view(np.uint8)), flat.itemsize
-        digest = xxhash.xxh3_64_intdigest
-        run = np.fromiter((digest(raw[a * size : b * size]) for a, b in zip(lo.tolist(), (hi + cfg.window).tolist())), np.uint64, len(lo)) | np.uint64(1)
+        digest = xxhash.xxh3_128_digest
+        halves = np.frombuffer(b"".join(digest(raw[a * size : b * size]) for a, b in zip(lo.tolist(), (hi + cfg.window).tolist())), np.uint64).reshape(-1, 2)
+        run, more = halves[:, 0] | np.uint64(1), np.ascontiguousarray(halves[:, 1])
         starts = np.concatenate([[0], ends[:-1]])
         pos = _pack(lo - starts[doc] + offset, anchor - lo, hi - lo + 1)
-        kind = np.unique(run, return_inverse=True)[1]
+        kind = _kinds(run, more)
         settled = repeats_earlier(kind, document_ranks(did, tie)[doc], did[doc], lo - starts[doc], cfg.across_only)
         run[settled] = 0
         key[settled] = mix(pos[settled].astype(np.uint64), did[doc][settled].astype(np.uint64))  # anywhere, evenly
-        yield _batch(key, run, did[doc], tie[doc], pos)
+        yield _batch(key, run, more, did[doc], tie[doc], pos)
 
     return _identified(docs).mapInArrow(scan, _ROW)
 
@@ -256,60 +274,58 @@ def settle_by_anchor(rows: DataFrame, cfg: RepeatConfig) -> DataFrame:
         counts = pa.nulls(n, pa.int32()) if part is None else pa.array(np.broadcast_to(np.asarray(n_parts, np.int32), n))
         return pa.record_batch([pa.array(did), pa.array(tie), pa.array(pos), keys, parts, counts], names=["did", "tie", "pos", "key", "part", "n_parts"])
 
-    def groups(key, run, did, tie, pos):
-        """Settle whole groups; returns what is settled and what is left, in order of key."""
-        order = np.lexsort((run, key))
-        kind = np.zeros(len(key), np.int64)
-        k, r = key[order], run[order]
-        kind[order] = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]))
-        settled = repeats_earlier(kind, document_ranks(did, tie), did, pos >> 16, cfg.across_only)
-        return np.flatnonzero(settled), np.flatnonzero(~settled)
-
-    def last_group_done(hold):
-        yield from compare(*hold)
-
-    def compare(key, run, did, tie, pos):
+    def compare(key, run, more, did, tie, pos):
         """Rows left over, sorted by key: emit those of keys with at least two different runs."""
         if len(key) < 2:
             return
         begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(begins, len(key)))
         group = np.repeat(np.arange(len(begins)), sizes)
-        order = np.lexsort((run, group))
-        g, r = group[order], run[order]
-        different = np.bincount(g, weights=np.concatenate([[1], (g[1:] != g[:-1]) | (r[1:] != r[:-1])]), minlength=len(begins))
-        some = (different >= 2)[group]
+        kind = _kinds(group, run, more)
+        some = (np.maximum.reduceat(kind, begins) > np.minimum.reduceat(kind, begins))[group]
         if some.any():
             ordinal = np.arange(len(key)) - begins[group]
             yield out(did[some], tie[some], pos[some], key[some], (ordinal // cfg.shard_runs)[some], (-(-sizes // cfg.shard_runs))[group][some])
 
     def stream(batches):
-        hold = tuple(np.empty(0, np.int64) for _ in range(5))  # what is left of the key not yet ended
+        none = tuple(np.empty(0, np.int64) for _ in _NAMES)
+        hold, wait, waiting = none, [], 0  # what is left of the key not yet ended; its rows that came later
+
+        def settle(columns):
+            """Settle whole rows; returns what is left and the batch of what is settled."""
+            key, run, more, did, tie, pos = columns
+            gone = repeats_earlier(_kinds(key, run, more), document_ranks(did, tie), did, pos >> 16, cfg.across_only)
+            return tuple(c[~gone] for c in columns), out(did[gone], tie[gone], pos[gone])
+
         for batch in batches:
-            key, run, did, tie, pos = (batch.column(c).to_numpy() for c in _NAMES)
-            done = run == 0
+            rows_ = tuple(batch.column(c).to_numpy() for c in _NAMES)
+            done = rows_[1] == 0
             if done.any():
-                yield out(did[done], tie[done], pos[done])
-                key, run, did, tie, pos = key[~done], run[~done], did[~done], tie[~done], pos[~done]
-            if not len(key):
+                yield out(*(c[done] for c in rows_[3:]))
+                rows_ = tuple(c[~done] for c in rows_)
+            if not len(rows_[0]):
                 continue
-            if len(hold[0]) and hold[0][0] != key[0]:
-                yield from last_group_done(hold)
-                hold = tuple(c[:0] for c in hold)
-            key, run, did, tie, pos = (np.concatenate([a, b]) for a, b in zip(hold, (key, run, did, tie, pos)))
+            wait.append(rows_)
+            waiting += len(rows_[0])
+            # a key that goes on and on is settled whenever its rows have doubled
+            if rows_[0][0] == rows_[0][-1] and (not len(hold[0]) or hold[0][0] == rows_[0][0]) and waiting < max(1 << 16, len(hold[0])):
+                continue
+            rows_ = tuple(np.concatenate(parts) for parts in zip(hold, *wait))
+            wait, waiting = [], 0
+            key = rows_[0]
             # single rows are the rule: look at groups only, and at the last key, which may go on
             same = key[1:] == key[:-1]
-            many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            many |= key == key[-1]
-            key, run, did, tie, pos = key[many], run[many], did[many], tie[many], pos[many]
-            settled, left = groups(key, run, did, tie, pos)
-            if len(settled):
-                yield out(did[settled], tie[settled], pos[settled])
-            key, run, did, tie, pos = key[left], run[left], did[left], tie[left], pos[left]
-            going = key == key[-1] if len(key) else np.empty(0, bool)
-            hold = (key[going], run[going], did[going], tie[going], pos[going])
-            yield from compare(key[~going], run[~going], did[~going], tie[~going], pos[~going])
-        yield from last_group_done(hold)
+            many = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (key == key[-1])
+            left, settled = settle(tuple(c[many] for c in rows_))
+            yield settled
+            going = left[0] == key[-1]
+            hold = tuple(c[going] for c in left)
+            yield from compare(*(c[~going] for c in left))
+        if wait:
+            left, settled = settle(tuple(np.concatenate(parts) for parts in zip(hold, *wait)))
+            yield settled
+            hold = left
+        yield from compare(*hold)
 
     return rows.repartition("key").sortWithinPartitions("key", "did", "tie", "pos").mapInArrow(stream, schema)
 
@@ -339,9 +355,9 @@ def fetch_contexts(docs: DataFrame, settled: DataFrame, units, cfg: RepeatConfig
     return contexts.repartition("key", "part").sortWithinPartitions("key", "part", "did", "tie", "lo")
 
 
-#: What the comparison of a shard returns: removed windows (digests null), and for anchors of
-#: several parts the distinct windows that are left, by a 128-bit digest.
-COMPARED = "did long, tie long, lo long, n int, d1 long, d2 long"
+#: What the comparison of a shard returns: removed windows (window null), and for anchors of
+#: several parts the distinct windows that are left, in the order of the shard's array, with the bucket they are merged in.
+COMPARED = "did long, tie long, lo long, n int, key long, bucket int, part int, window binary"
 
 
 @dataclass
@@ -359,14 +375,7 @@ class Shard:
     n: np.ndarray
 
 
-def window_digests(shard: Shard, context: np.ndarray, offset: np.ndarray, digest_of: Callable[[bytes, int], bytes]):
-    """Two columns of 64-bit numbers for the given windows."""
-    raw = b"".join(digest_of(shard.units[c], o) for c, o in zip(context.tolist(), offset.tolist()))
-    both = np.frombuffer(raw, np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
-
-
-def compare_shards(contexts: DataFrame, compare: Callable[[Shard], tuple[np.ndarray, np.ndarray]], digest_of, cfg: RepeatConfig, shard_bytes: int = 1 << 20) -> DataFrame:
+def compare_shards(contexts: DataFrame, compare: Callable[[Shard], tuple[np.ndarray, np.ndarray]], window_of: Callable[[bytes, int], bytes], cfg: RepeatConfig, shard_bytes: int = 1 << 20) -> DataFrame:
     """Run ``compare`` on shards of about ``shard_bytes``; it returns the (context, offset) of removed windows."""
 
     def close(rows):
@@ -388,14 +397,17 @@ def compare_shards(contexts: DataFrame, compare: Callable[[Shard], tuple[np.ndar
             o = np.arange(len(c)) - np.repeat(np.cumsum(shard.n[split]) - shard.n[split], shard.n[split])
             gone = np.isin(c * 256 + o, context * 256 + offset)
             c, o = c[~gone], o[~gone]
-            for at in range(0, len(c), 100_000):
-                cc, oo = c[at : at + 100_000], o[at : at + 100_000]
-                d1, d2 = window_digests(shard, cc, oo, digest_of)
-                yield emit(shard.did[cc], shard.tie[cc], shard.lo[cc] + oo, np.ones(len(cc), np.int64), d1, d2)
-
-    def emit(did, tie, lo, n, d1=None, d2=None):
-        digests = [pa.nulls(len(did), pa.int64()) if d is None else pa.array(np.ascontiguousarray(d)) for d in (d1, d2)]
-        return pa.record_batch([pa.array(did), pa.array(tie), pa.array(lo), pa.array(n.astype(np.int32)), *digests], names=["did", "tie", "lo", "n", "d1", "d2"])
+            for at in range(0, len(c), 20_000):
+                cc, oo = c[at : at + 20_000], o[at : at + 20_000]
+                windows = [window_of(shard.units[x], y) for x, y in zip(cc.tolist(), oo.tolist())]
+                # as many buckets as parts, so that a bucket is about as large as a part
+                bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, windows), np.uint64, len(windows)) % shard.n_parts[cc].astype(np.uint64)
+                yield emit(shard.did[cc], shard.tie[cc], shard.lo[cc] + oo, np.ones(len(cc), np.int64), (shard.key[cc], bucket, shard.part[cc], windows))
+
+    def emit(did, tie, lo, n, placed=None):
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        more = [pa.nulls(len(did), k) for k in kinds] if placed is None else [pa.array(v, k) if k == pa.binary() else pa.array(v.astype(k.to_pandas_dtype())) for v, k in zip(placed, kinds)]
+        return pa.record_batch([pa.array(did), pa.array(tie), pa.array(lo), pa.array(n.astype(np.int32)), *more], names=["did", "tie", "lo", "n", "key", "bucket", "part", "window"])
 
     def run(batches):
         rows, size, last = [], 0, None
@@ -414,41 +426,62 @@ def compare_shards(contexts: DataFrame, compare: Callable[[Shard], tuple[np.ndar
     return contexts.mapInArrow(run, COMPARED)
 
 
+def merge_sorted(lists: list[np.ndarray]) -> np.ndarray:
+    """One sorted array of the distinct elements of sorted arrays: each is merged in where binary search puts its elements."""
+    merged = lists[0][:0]
+    for own in lists:
+        own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+        at = np.searchsorted(merged, own)
+        known = np.zeros(len(own), bool)
+        inside = at < len(merged)
+        known[inside] = merged[at[inside]] == own[inside]
+        merged = np.insert(merged, at[~known], own[~known])
+    return merged
+
+
 def merge_parts(compared: DataFrame, cfg: RepeatConfig) -> DataFrame:
     """Windows of anchors with several parts that repeat one of another part, as (did, tie, lo, n)."""
-    windows = compared.where("d1 IS NOT NULL")
+    windows = compared.where("window IS NOT NULL")
+
+    def close(rows):
+        part, window, did, tie, lo = (np.concatenate(c) if i != 1 else [w for some in c for w in some] for i, c in enumerate(zip(*rows)))
+        window = np.asarray(window, dtype=f"S{max(map(len, window))}")  # all are of one length, so padding makes no two equal
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        merged = merge_sorted([window[a:b] for a, b in zip(edges[:-1], edges[1:])])
+        gone = np.flatnonzero(repeats_earlier(np.searchsorted(merged, window), document_ranks(did, tie), did, lo, cfg.across_only))
+        return pa.record_batch([pa.array(did[gone]), pa.array(tie[gone]), pa.array(lo[gone]), pa.array(np.ones(len(gone), np.int32))], names=["did", "tie", "lo", "n"])
 
     def stream(batches):
-        hold = tuple(np.empty(0, np.int64) for _ in range(5))
+        rows, now = [], None
         for batch in batches:
-            cols = tuple(np.concatenate([h, batch.column(c).to_numpy().astype(np.int64)]) for h, c in zip(hold, ("d1", "d2", "did", "tie", "lo")))
-            d1, d2, did, tie, lo = cols
-            if not len(d1):
-                continue
-            # the sorted distinct windows of the parts lie side by side: binary search finds where each begins
-            pair = np.empty(len(d1), dtype=[("d1", np.int64), ("d2", np.int64)])
-            pair["d1"], pair["d2"] = d1, d2
-            distinct = np.unique(pair)
-            kind = np.searchsorted(distinct, pair)
-            again = repeats_earlier(kind, document_ranks(did, tie), did, lo, cfg.across_only)
-            gone = np.flatnonzero(again)
-            yield pa.record_batch([pa.array(did[gone]), pa.array(tie[gone]), pa.array(lo[gone]), pa.array(np.ones(len(gone), np.int32))], names=["did", "tie", "lo", "n"])
-            keep = (pair == pair[-1]) & ~again
-            hold = tuple(c[keep] for c in cols)
-
-    sorted_windows = windows.select("d1", "d2", "did", "tie", "lo").repartition("d1").sortWithinPartitions("d1", "d2", "did", "tie", "lo")
-    return sorted_windows.mapInArrow(stream, "did long, tie long, lo long, n int")
-
-
-def find_repeats(docs: DataFrame, units, cfg: RepeatConfig, compare, digest_of) -> DataFrame:
+            key, bucket = batch.column("key").to_numpy(), batch.column("bucket").to_numpy()
+            cuts = (np.flatnonzero((key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(key)]):
+                if a == b:
+                    continue
+                if now != (key[a], bucket[a]) and rows:
+                    yield close(rows)
+                    rows = []
+                now = (key[a], bucket[a])
+                some = batch.slice(a, b - a)
+                rows.append([some.column("part").to_numpy(), some.column("window").to_pylist(), *(some.column(c).to_numpy() for c in ("did", "tie", "lo"))])
+        if rows:
+            yield close(rows)
+
+    names = ["key", "bucket", "part", "window"]
+    dealt = windows.select(*names, "did", "tie", "lo").repartition("key", "bucket").sortWithinPartitions(*names)
+    return dealt.mapInArrow(stream, "did long, tie long, lo long, n int")
+
+
+def find_repeats(docs: DataFrame, units, cfg: RepeatConfig, compare, window_of) -> DataFrame:
     """(did, tie, runs array<struct<lo, n>>): for each document with any, its runs of repeated windows."""
     spark = docs.sparkSession
     settled, p1 = stage(settle_by_anchor(anchor_rows(docs, units, cfg), cfg), "settled")
     release(spark)
-    compared, p2 = stage(compare_shards(fetch_contexts(docs, settled, units, cfg), compare, digest_of, cfg), "compared")
+    compared, p2 = stage(compare_shards(fetch_contexts(docs, settled, units, cfg), compare, window_of, cfg), "compared")
     release(spark)
     whole = settled.where("key IS NULL").select("did", "tie", F.shiftright("pos", 16).alias("lo"), F.col("pos").bitwiseAND(F.lit(0xFF)).cast("int").alias("n"))
-    parts = compared.where("d1 IS NULL").select("did", "tie", "lo", "n")
+    parts = compared.where("window IS NULL").select("did", "tie", "lo", "n")
     every = whole.unionByName(parts).unionByName(merge_parts(compared, cfg))
     found, _ = stage(every.groupBy("did", "tie").agg(F.collect_list(F.struct("lo", "n")).alias("runs")), "repeats")
     release(spark, p1, p2)

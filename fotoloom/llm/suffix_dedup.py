@@ -6,8 +6,11 @@ shards with all. Each shard gets a suffix array by Larsson-Sadakane refinement i
 (sort by the first 8 bytes, then double the sorted depth, touching unsorted groups only)
 and longest common prefixes by Kasai's algorithm. Neighbours in the array that share 100
 bytes or more are copies of one window; all but the earliest are removed. An anchor too
-frequent for one shard is spread over several, whose sorted distinct windows are merged by
-binary search.
+frequent for one shard is spread over several, whose sorted distinct windows (the windows themselves, in the
+order of the suffix arrays) are merged by binary search.
+
+What is not as plain suffix arrays would have it: of runs of windows that are equal as a whole only the earliest enters a shard; the
+others are settled by a 128-bit digest of their bytes before text is sent around (see ``repeats`` for its error). README gives the figures.
 
 Defined results: a null text counts as empty; texts shorter than the window are kept whole;
 matches never cross documents; a null doc_id comes first in the order; rows that repeat a
@@ -21,7 +24,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
 from .repeats import ByteUnits, RepeatConfig, Shard, covered, document_ranks, find_repeats, load8, repeats_earlier, with_repeats
@@ -118,16 +120,16 @@ def repeated_windows(shard: Shard, window: int = WINDOW) -> tuple[np.ndarray, np
     return context[gone], offset[gone]
 
 
-def _digest(units: bytes, offset: int) -> bytes:
-    return xxhash.xxh3_128_digest(units[offset : offset + WINDOW])
+def _window(units: bytes, offset: int) -> bytes:
+    return units[offset : offset + WINDOW]
 
 
-CONFIG = RepeatConfig(window=WINDOW, gram=24, across_only=False)
+CONFIG = RepeatConfig(window=WINDOW, gram=24, across_only=False, shard_runs=512)
 
 
 def dedup(docs: DataFrame, cfg: RepeatConfig = CONFIG) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of ``docs``."""
-    found = find_repeats(docs, ByteUnits(), cfg, repeated_windows, _digest)
+    found = find_repeats(docs, ByteUnits(), cfg, repeated_windows, _window)
 
     def cut(batches):
         for batch in byte_chunks(batches, 8 << 20):

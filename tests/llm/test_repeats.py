@@ -105,7 +105,41 @@ def test_suffix_array_and_prefixes(seed):
         assert shared[k] == n
 
 
+def test_merging_by_binary_search():
+    r = random.Random(2)
+    lists = [np.asarray(sorted(bytes(r.choices(b"ab\0", k=4)) for _ in range(r.randint(0, 40))), "S4") for _ in range(7)]
+    merged = repeats.merge_sorted(lists)
+    assert merged.tolist() == sorted({x for own in lists for x in own.tolist()})
+    assert len(repeats.merge_sorted([lists[0][:0]])) == 0
+
+
+def test_a_very_frequent_anchor(spark):
+    """One phrase in thousands of different surroundings: one anchor, many parts, many batches of one key."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    phrase = "the very same phrase of words"
+    around = [(" ".join(word() for _ in range(6)), " ".join(word() for _ in range(6))) for _ in range(40)]
+    rows = [(i, f"{r.choice(around)[0]} {phrase} {r.choice(around)[1]}" if i % 3 else f"{word()} {word()} {word()} {word()} {word()} {phrase} {word()} {word()} {word()}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cfg = RepeatConfig(window=60, gram=24, across_only=False, shard_runs=16)
+    found = repeats.find_repeats(df, repeats.ByteUnits(), cfg, lambda shard: suffix_dedup.repeated_windows(shard, 60), lambda units, at: units[at : at + 60])
+    got = {x.did: sum(b - a for a, b in repeats.covered(x.runs, 60)) for x in found.collect()}
+    want = {d: gone for d, _, gone, _, _ in brute(rows, 60, lambda t: list(t.encode()), bytes, False) if gone}
+    assert got == want and len(want) > 500
+
+
 def test_long_text_is_cut_in_stretches(spark, monkeypatch):
+    """Texts beyond one stretch are cut where windows overlap, and removed as if they were whole."""
+    r = random.Random(4)
+    text = "".join(r.choice("abcdefghij ") for _ in range(30_000))
+    rows = [(1, text), (2, "x" * 50 + text[9_900:10_300] + "y" * 50), (3, text[:5_000] + text[20_000:]), (4, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(repeats, "STRETCH", 1 << 13)
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.dedup(df).collect()), key=str)
+    assert got == brute(rows, 100, lambda t: list(t.encode()), bytes, False)
+
+
+def test_runs_of_an_array():
     units = np.random.default_rng(0).integers(0, 1 << 60, 400).astype(np.uint64)
     cfg = RepeatConfig(window=50, gram=16, across_only=True)
     lo, hi, a, key = repeats.anchor_runs(units, np.asarray([400]), cfg)
