@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from .config import EngineConfig, FrameConfig, SimilarityConfig, StatsConfig, TransferConfig
 from .functions.bits import to_hex
 from .functions.metadata import exif_metadata
+from .operators import memo
 from .plans.pipeline import Media
 from .plans.report import report_rows, write_report
 from .sources import media
-from .sources.discovery import discover, file_stats, format_stats
-from .sources.exif import tags_of
+from .sources.discovery import discover, format_stats, read_ends
 from .staging import stage
 
 
@@ -45,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--video-similarity-threshold", type=float, default=d.similarity.video)
     p.add_argument("--max-chunk-size", type=int, default=d.stats.max_chunk)
     p.add_argument("--frames", help="Parquet table of video frames")
+    p.add_argument("--cache", help="directory for what was read and hashed, so that a rerun looks at new and changed files only")
     p.add_argument("--plan-only", action="store_true", help="show the plan, touch no file")
     p.add_argument("--verbose", action="store_true")
     return p
@@ -59,20 +60,55 @@ def config_of(a: argparse.Namespace) -> EngineConfig:
     )
 
 
-def gathered(spark: SparkSession, sources: list[str], cfg: EngineConfig, frames: str | None = None) -> DataFrame:
-    """One row a file: stats, metadata, first hash, duration, and the error of a file that has no hash though it should."""
-    found = file_stats(discover(spark, sources, with_content=True), cfg.stats.max_chunk)
-    described = found.withColumn("_tags", tags_of(F.col("content"))).drop("content")
-    rows = described.select("*", exif_metadata(F.col("_tags")).alias("_m")).select("*", "_m.*").drop("_tags", "_m")
-    hashes = media.image_hashes(media.gray_rasters(spark, sources, cfg.frames), cfg.frames.resolution).select("file_path", "phash")
-    rows = rows.join(hashes, "file_path", "left").withColumn("duration", F.lit(0.0))
+#: Up to so many images are decoded by name; beyond, the sources are scanned whole.
+MAX_NAMED = 10_000
+
+
+def read_stats(spark: SparkSession, listed: DataFrame, cfg: EngineConfig, cache: str | None) -> DataFrame:
+    """``read_ends`` of the listed files; with a cache only of those that are new or changed."""
+    if cache is None:
+        return read_ends(listed, cfg.stats.max_chunk)
+    kind = "content_hash string, tags map<string,string>"
+    key = memo.stats_key(F.col("file_path"), F.col("size"), F.col("modified_at"))
+    wanted = listed.select("*", F.lit("stats").alias("job"), key.alias("key"), F.lit(memo.config_hash(cfg.stats)).alias("config_hash"))
+    found = stage(memo.look_up(wanted, memo.load(spark, f"{cache}/stats")), "stats-found")[0]
+    fresh = stage(read_ends(found.where("NOT hit").drop("value", "hit"), cfg.stats.max_chunk), "stats-read")[0]
+    memo.append(fresh.where("error IS NULL").withColumn("value", F.to_json(F.struct("content_hash", "tags"))), f"{cache}/stats")
+    known = found.where("hit").withColumn("_v", F.from_json("value", kind)).select("*", "_v.*").withColumn("error", F.lit(None).cast("string")).withColumn("created_at", F.col("modified_at"))
+    columns = [*listed.columns, "content_hash", "tags", "error", "created_at"]
+    return known.select(*columns).unionByName(fresh.select(*columns))
+
+
+def read_hashes(spark: SparkSession, files: DataFrame, sources: list[str], cfg: EngineConfig, cache: str | None) -> DataFrame:
+    """(file_path, phash) of images; with a cache only contents that were not hashed at this resolution before are decoded."""
+    decode = lambda paths: media.image_hashes(media.gray_rasters(spark, paths, cfg.frames), cfg.frames.resolution).select("file_path", "phash")
+    if cache is None:
+        return decode(sources)
+    wanted = files.where("type = 1 AND content_hash IS NOT NULL").select("file_path", F.lit("phash").alias("job"), F.col("content_hash").alias("key"), F.lit(memo.config_hash(cfg.frames, ("resolution",))).alias("config_hash"))
+    found = stage(memo.look_up(wanted, memo.load(spark, f"{cache}/phash")), "phash-found")[0]
+    known, missing = found.where("hit").select("file_path", F.col("value").alias("phash")), found.where("NOT hit").drop("value", "hit")
+    named = [r.file_path for r in missing.select("file_path").limit(MAX_NAMED + 1).collect()]
+    if not named:
+        return known
+    made = decode(named if len(named) <= MAX_NAMED else sources)
+    fresh = stage(missing.join(made, "file_path").where("phash IS NOT NULL"), "phash-made")[0]
+    memo.append(fresh.dropDuplicates(["key"]).withColumn("value", F.col("phash")), f"{cache}/phash")
+    return known.unionByName(fresh.select("file_path", "phash"))
+
+
+def gathered(spark: SparkSession, sources: list[str], cfg: EngineConfig, frames: str | None = None, cache: str | None = None) -> DataFrame:
+    """One row a file: stats, metadata, first hash, duration, frames of videos if given, and the first error met: of
+    reading, then of decoding."""
+    read = stage(read_stats(spark, discover(spark, sources), cfg, cache), "read")[0]
+    rows = read.select("*", exif_metadata(F.col("tags")).alias("_m")).select("*", "_m.*").drop("tags", "_m")
+    rows = rows.join(read_hashes(spark, read, sources, cfg, cache), "file_path", "left").withColumn("duration", F.lit(0.0))
     if frames is not None:
         shown = media.video_frames(spark.read.parquet(frames), cfg.frames)
         first = F.when(F.size("frames") > 0, to_hex(F.get(F.col("frames"), F.lit(0))["hash"]))
-        rows = rows.drop("duration").join(shown.select("file_path", F.col("duration").alias("_d"), first.alias("_h")), "file_path", "left")
+        rows = rows.drop("duration").join(shown.select("file_path", F.col("duration").alias("_d"), "frames", first.alias("_h")), "file_path", "left")
         rows = rows.withColumn("phash", F.coalesce("phash", "_h")).withColumn("duration", F.coalesce("_d", F.lit(0.0))).drop("_d", "_h")
     failed = (F.col("type") == 1) & F.col("phash").isNull()
-    return rows.withColumn("error", F.when(failed, "ExternalToolError: the image can't be decoded"))
+    return rows.withColumn("error", F.coalesce("error", F.when(failed, "ExternalToolError: the image can't be decoded")))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -82,7 +118,7 @@ def main(argv: list[str] | None = None) -> int:
         builder = builder.master(f"local[{a.concurrency}]")
     spark = builder.getOrCreate()
     cfg = config_of(a)
-    files = stage(gathered(spark, a.source, cfg, a.frames), "gathered")[0]
+    files = stage(gathered(spark, a.source, cfg, a.frames, a.cache), "gathered")[0]
     format_stats(files).show(100, truncate=False)
     done = Media(files, cfg).deduplicate()
     done.summary().show(truncate=False)

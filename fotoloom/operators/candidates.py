@@ -67,15 +67,23 @@ def near_hash_pairs(hashes: DataFrame, max_distance: int, mode: str = "pigeonhol
     return close.distinct()
 
 
+#: Beyond this distance block keys are so short that most rows share one with most others.
+MAX_KEYED_DISTANCE = 6
+
+
 def range_search(queries: DataFrame, files: DataFrame, max_distance: int) -> DataFrame:
     """(query_id, file_path, distance) of all files within the distance of each query, itself included.
 
-    Both sides have (file_path, bits). A distance of 0 finds equal hashes.
+    Both sides have (file_path, bits). A distance of 0 finds equal hashes. Small distances are joined on block keys; for larger
+    ones the queries, a stated set, are held against all files in blocks.
     """
-    keys = lambda: F.explode(F.array_distinct(block_keys(F.col("bits"), max_distance))).alias("key")
-    left = queries.select(F.col("file_path").alias("query_id"), F.col("bits").alias("q"), keys())
-    right = files.select("file_path", F.col("bits").alias("p"), keys())
-    found = left.join(right, "key").withColumn("distance", hamming(F.col("q"), F.col("p")))
+    q = queries.select(F.col("file_path").alias("query_id"), F.col("bits").alias("q")).where("q IS NOT NULL")
+    f = files.select("file_path", F.col("bits").alias("p")).where("p IS NOT NULL")
+    close = hamming(F.col("q"), F.col("p"))
+    if max_distance > MAX_KEYED_DISTANCE:
+        return in_blocks(f, q, "query_id", close <= max_distance).select("query_id", "file_path", close.alias("distance"))
+    keys = lambda c: F.explode(F.array_distinct(block_keys(F.col(c), max_distance))).alias("key")
+    found = q.select("query_id", "q", keys("q")).join(f.select("file_path", "p", keys("p")), "key").withColumn("distance", close)
     return found.where(F.col("distance") <= max_distance).select("query_id", "file_path", "distance").distinct()
 
 
@@ -109,7 +117,7 @@ def knn(queries: DataFrame, files: DataFrame, k: int) -> DataFrame:
 
 
 def valid_neighbors(pairs: DataFrame, files: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """Keep the (query_id, file_path, distance) whose types' bound holds and whose neighbour has no error.
+    """Keep the (query_id, file_path, distance) whose types' bound holds; a file with an error is nobody's neighbour and has none.
 
     ``files`` has (file_path, is_video, bound_image, bound_mixed, bound_video).
     """
@@ -118,5 +126,6 @@ def valid_neighbors(pairs: DataFrame, files: DataFrame, errors: DataFrame | None
     bound = F.when(F.col("qv") & F.col("fv"), F.col("bound_video")).when(F.col("qv") | F.col("fv"), F.col("bound_mixed")).otherwise(F.col("bound_image"))
     out = pairs.join(q, "query_id").join(f, "file_path").where((F.col("distance") <= bound) & (F.col("query_id") != F.col("file_path")))
     if errors is not None:
-        out = out.join(errors.select("file_path"), "file_path", "left_anti")
+        bad = errors.select("file_path")
+        out = out.join(bad, "file_path", "left_anti").join(bad.withColumnRenamed("file_path", "query_id"), "query_id", "left_anti")
     return out.select("query_id", "file_path", "distance")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, is_dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,17 @@ def memoize(wanted: DataFrame, cache: DataFrame, compute) -> tuple[DataFrame, Da
     found = look_up(wanted, cache)
     fresh = compute(found.where(~F.col("hit")).drop("value", "hit"))
     return found.where("hit").select("job", "key", "config_hash", "value").unionByName(fresh.select("job", "key", "config_hash", "value")), fresh
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The entries (job, key, config_hash, value, seq) kept below ``path``; none if nothing is there yet."""
+    kind = "job string, key string, config_hash string, value string, seq long"
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+    return spark.read.schema(kind).parquet(path) if there else spark.createDataFrame([], kind)
+
+
+def append(fresh: DataFrame, path: str) -> None:
+    """Keep new entries; a later one of a key counts before an earlier."""
+    rows = fresh.select("job", "key", "config_hash", "value", F.unix_micros(F.current_timestamp()).alias("seq"))
+    rows.write.mode("append").parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,11 +46,12 @@ def captures(members: DataFrame, cfg: SimilarityConfig) -> DataFrame:
         return first.select("set_id", "file_path")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[tuple[int, str]] = []
-        for _, r in pdf.sort_values(["score", "file_path"], ascending=[False, True]).iterrows():
-            if all(((int(r["bits"]) ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() > bound for b, _ in chosen):
-                chosen.append((int(r["bits"]), r["file_path"]))
-        return pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "file_path": [p for _, p in chosen]})
+        pdf = pdf.sort_values(["score", "file_path"], ascending=[False, True])
+        bits = pdf["bits"].to_numpy().astype(np.int64).view(np.uint64)
+        chosen = np.zeros(len(bits), bool)
+        for i, own in enumerate(bits):
+            chosen[i] = not (np.bitwise_count(bits[:i][chosen[:i]] ^ own) <= bound).any()
+        return pdf.loc[chosen, ["set_id", "file_path"]]
 
     return first.groupBy("set_id").applyInPandas(scan, "set_id string, file_path string")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.bits import hex_to_long
 from ..operators.cluster import duplicate_sets, greedy_stars, similar_pairs
+from ..operators.dispatch import media_sets
 from ..operators.select import roles, summary
 from ..sources.discovery import discover, file_stats
 from ..staging import stage
@@ -18,7 +19,10 @@ from .transfer import carry_out, transfer_plan
 
 @dataclass(frozen=True)
 class Media:
-    """Files with the columns of ``schema.SCORED``, ``file_path``, ``created_at``, ``phash`` and maybe ``error``."""
+    """Files with the columns of ``schema.SCORED``, ``file_path``, ``created_at``, ``phash`` and maybe ``error``.
+
+    With a column ``frames`` (arrays of ts and hash, null or empty for images) sets are made by full similarity; without one, by first hashes.
+    """
 
     files: DataFrame
     config: EngineConfig = EngineConfig()
@@ -28,9 +32,11 @@ class Media:
         return cls(file_stats(discover(spark, paths, with_content=True), config.stats.max_chunk).drop("content"), config)
 
     def enrich(self, metadata: DataFrame, hashes: DataFrame) -> Media:
-        """Joins metadata and hashes by path; a file that lacks either gets an error and goes on."""
-        joined = self.files.join(metadata, "file_path", "left").join(hashes, "file_path", "left")
-        return Media(joined, self.config)
+        """Joins metadata and hashes by path; a file that lacks either gets an error (an earlier one of its own counts first) and goes on."""
+        joined = self.files.join(metadata.withColumn("_described", F.lit(True)), "file_path", "left").join(hashes.withColumn("_hashed", F.lit(True)), "file_path", "left")
+        lacks = F.when(F.col("_described").isNull(), "ExternalToolError: no metadata").when(F.col("_hashed").isNull(), "HashingError: no hash")
+        own = F.col("error") if "error" in self.files.columns else F.lit(None).cast("string")
+        return Media(joined.withColumn("error", F.coalesce(own, lacks)).drop("_described", "_hashed"), self.config)
 
     @property
     def valid(self) -> DataFrame:
@@ -45,6 +51,8 @@ class Media:
         cfg = self.config.similarity
         if cfg.cluster_mode == "greedy_star":
             sets = greedy_stars(similar_pairs(self.valid, cfg)).select("file_path", "set_id")
+        elif "frames" in self.files.columns:
+            sets = media_sets(self.valid, cfg)
         else:
             sets = duplicate_sets(self.valid, cfg)
         placed, _ = stage(roles(self.valid, stage(sets, "sets")[0], cfg), "roles")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 
@@ -50,26 +51,47 @@ def anything_to_do(placed: DataFrame, cfg: TransferConfig, errors: DataFrame | N
     return cfg.error_dir is not None and errors is not None and not errors.isEmpty()
 
 
+def free_target(source: str, target: str, attempts: int = 100) -> str | None:
+    """``target``, or where another file lies there already the first free name with a suffix; None if it already holds ``source``.
+
+    Suffixes depend on the path and the attempt alone, so that a task that is run again meets its own earlier work: a
+    copy of the same size and time.
+    """
+    stat = os.stat(source) if os.path.exists(source) else None
+    head, ext = os.path.splitext(target)
+    for attempt in range(attempts + 1):
+        name = target if attempt == 0 else f"{head}_{hashlib.md5(f'{source}|{attempt}'.encode()).hexdigest()[:8]}{ext}"
+        if not os.path.exists(name):
+            return name
+        there = os.stat(name)
+        if stat is None or (there.st_size == stat.st_size and int(there.st_mtime) == int(stat.st_mtime)):
+            return None
+    raise FileExistsError(f"no free name for {target} after {attempts} attempts")
+
+
 def carry_out(plan: DataFrame, dry_run: bool = True) -> DataFrame:
-    """Copy or move the files (a shared file system is assumed); returns the plan with ``error``.
+    """Copy or move the files (a shared file system is assumed); returns the plan with ``error``, targets as they became.
 
-    A failure concerns its file only. A dry run, the default, touches nothing.
+    A failure concerns its file only. A dry run, the default, touches nothing. A file that lies at a target already is never overwritten.
     """
 
     def run(batches):
         for pdf in batches:
-            errors = []
+            errors, targets = [], []
             for source, target, action in zip(pdf["file_path"], pdf["target"], pdf["action"]):
+                error = None
                 try:
                     if not dry_run:
                         os.makedirs(os.path.dirname(target), exist_ok=True)
-                        # a retried task finds its own earlier work done
-                        if not (os.path.exists(target) and not os.path.exists(source)):
+                        free = free_target(source, target)
+                        if free is not None:
+                            target = free
                             (shutil.move if action == "move" else shutil.copy2)(source, target)
-                    errors.append(None)
                 except OSError as e:
-                    errors.append(f"FileSystemError: {e}")
-            pdf["error"] = errors
+                    error = f"FileSystemError: {e}"
+                errors.append(error)
+                targets.append(target)
+            pdf["target"], pdf["error"] = targets, errors
             yield pdf
 
     return plan.mapInPandas(run, "file_path string, target string, reason string, action string, error string")

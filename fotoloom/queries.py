@@ -206,7 +206,7 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.similar_pairs(m_near(spark, sf_dir), SimilarityConfig())
 
 
-@query(f"WITH {M_NEAR_SQL}, f AS (SELECT *, phash[1] = '0' AS bad FROM m_near) SELECT p.file_path AS query_id, q.file_path, ({DISTANCE_SQL})::INTEGER AS distance FROM f p JOIN f q ON p.file_path <> q.file_path AND NOT q.bad AND {DISTANCE_SQL} <= {BOUND_SQL}")
+@query(f"WITH {M_NEAR_SQL}, f AS (SELECT *, phash[1] = '0' AS bad FROM m_near) SELECT p.file_path AS query_id, q.file_path, ({DISTANCE_SQL})::INTEGER AS distance FROM f p JOIN f q ON p.file_path <> q.file_path AND NOT p.bad AND NOT q.bad AND {DISTANCE_SQL} <= {BOUND_SQL}")
 def valid_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg, f = SimilarityConfig(), m_near(spark, sf_dir)
     bounds = [F.lit(cfg.max_distance(t)).alias(n) for n, t in (("bound_image", cfg.image), ("bound_mixed", cfg.image_video), ("bound_video", cfg.video))]
@@ -242,12 +242,28 @@ def clusters_cc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.duplicate_sets(m_near(spark, sf_dir), SimilarityConfig())
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {M_NEAR_SQL}, {PAIRS_SQL}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+around AS MATERIALIZED (SELECT a AS f, list(b ORDER BY b) AS n, row_number() OVER (ORDER BY a) AS i FROM e GROUP BY a),
+g(i, taken, members) AS (
+  SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[]
+  UNION ALL
+  SELECT i, CASE WHEN len(m) > 1 THEN list_concat(taken, m) ELSE taken END, CASE WHEN len(m) > 1 THEN m ELSE [] END
+  FROM (SELECT x.i, taken, CASE WHEN list_contains(taken, f) THEN [] ELSE list_concat([f], list_filter(n, lambda y: NOT list_contains(taken, y))) END AS m FROM g JOIN around x ON x.i = g.i + 1)
+)
+SELECT members[1] AS set_id, unnest(members) AS file_path FROM g WHERE len(members) > 0"""
+)
 def clusters_greedy_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.greedy_stars(cluster.similar_pairs(m_near(spark, sf_dir), SimilarityConfig()))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {M_NEAR_SQL}, {PAIRS_SQL}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+cores AS (SELECT a FROM e GROUP BY a HAVING count(*) + 1 >= 3), ce AS (SELECT a, b FROM e WHERE a IN (FROM cores) AND b IN (FROM cores)),
+reach(f, r) AS (SELECT a, a FROM cores UNION SELECT reach.f, ce.b FROM reach JOIN ce ON ce.a = reach.r), own AS (SELECT f, min(r) AS cluster_id FROM reach GROUP BY f)
+SELECT f AS file_path, cluster_id, true AS is_core FROM own
+UNION ALL SELECT b, cluster_id, false FROM (SELECT b, min(a) AS a FROM e WHERE a IN (FROM cores) AND b NOT IN (FROM cores) GROUP BY b) x JOIN own ON own.f = x.a"""
+)
 def clusters_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.dbscan(cluster.similar_pairs(m_near(spark, sf_dir), SimilarityConfig()), 3)
 
@@ -292,7 +308,17 @@ def video_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.captures(select.scored(files).join(cluster.duplicate_sets(files, SimilarityConfig()), "file_path"), SimilarityConfig())
 
 
-@query()
+LENIENT_SQL = f"""{SETS_SQL.replace(BOUND_SQL, "CASE WHEN p.is_video OR q.is_video THEN 6 ELSE 3 END")}, {ROLES_SQL.split(", roles AS (")[0]},
+one AS MATERIALIZED (SELECT set_id, list(struct_pack(f := file_path, b1 := b1, b2 := b2, b3 := b3, b4 := b4) ORDER BY round(score, 6) DESC, file_path) AS l FROM fit WHERE n = 1 GROUP BY set_id),
+scan(set_id, i, chosen) AS (
+  SELECT set_id, 1, l[1:1] FROM one
+  UNION ALL
+  SELECT s.set_id, s.i + 1, CASE WHEN len(list_filter(chosen, lambda p: {DISTANCE_SQL.replace("q.", "q_.")} <= 3)) = 0 THEN list_append(chosen, q_) ELSE chosen END
+  FROM (SELECT scan.set_id, i, chosen, l[i + 1] AS q_, l FROM scan JOIN one USING (set_id)) s WHERE s.i < len(l)
+)"""
+
+
+@query(f"WITH RECURSIVE {M_NEAR_SQL}, {LENIENT_SQL} SELECT set_id, unnest(chosen).f AS file_path FROM scan JOIN one USING (set_id) WHERE i = len(l)")
 def video_captures_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan with a threshold that admits differing bits."""
     cfg = SimilarityConfig(image=0.95, image_video=0.9, video=0.9)
@@ -369,18 +395,46 @@ def dtw_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", F.round(similarity.dtw_similarity(F.col("ha"), F.col("hb"), 16), 9).alias("similarity"))
 
 
-@query()
+# windows that show the same frames are one; costs are whole numbers of bits, a missing hash costs all 16
+VIDEO_SQL = f"""{M_FRAMES_SQL},
+v AS MATERIALIZED (SELECT regexp_extract(file_path, '([0-9]+)', 1)::BIGINT AS u, file_path, any_value(duration) AS d, list(hash ORDER BY ts, scene, hash NULLS FIRST) AS h,
+      list(ts ORDER BY ts, scene, hash) FILTER (hash IS NOT NULL) AS st, list(hash ORDER BY ts, scene, hash) FILTER (hash IS NOT NULL) AS sh FROM m_frames GROUP BY file_path),
+p AS MATERIALIZED (SELECT a.file_path AS a, b.file_path AS b, least(a.d, b.d) AS short, greatest(a.d, b.d) AS long_, CASE WHEN b.d < a.d THEN b.h ELSE a.h END AS hs,
+      CASE WHEN b.d < a.d THEN a.st ELSE b.st END AS lt, CASE WHEN b.d < a.d THEN a.sh ELSE b.sh END AS lh FROM v a JOIN v b ON b.u = a.u + 1),
+w AS (SELECT DISTINCT a, b, len(list_filter(lt, lambda t: t < s)) AS lo, len(list_filter(lt, lambda t: t <= s + short)) AS hi
+      FROM (SELECT *, unnest(range(0, floor(long_ - short)::BIGINT + 1))::DOUBLE AS s FROM p)),
+d(a, b, lo, hi, i, r) AS (
+  SELECT w.a, w.b, lo, hi, lo, list_concat([0::BIGINT], list_transform(hs, lambda z: 1000000::BIGINT)) FROM w JOIN p USING (a, b) WHERE hi > lo
+  UNION ALL
+  SELECT d.a, d.b, lo, hi, i + 1, list_reduce(list_transform(range(1, len(hs) + 1), lambda j: [coalesce(bit_count(xor(lh[i + 1], hs[j])), 16)::BIGINT, least(r[j], r[j + 1])]),
+         lambda c, e: list_append(c, e[1] + least(e[2], c[-1])), [1000000::BIGINT])
+  FROM d JOIN p USING (a, b) WHERE i < hi
+), best AS (SELECT a, b, max(greatest(0, 1 - r[-1] / 16.0::DOUBLE / greatest(hi - lo, len(hs)))) AS similarity FROM d JOIN p USING (a, b) WHERE i = hi GROUP BY a, b)"""
+
+
+@query(f"WITH RECURSIVE {VIDEO_SQL} SELECT a, b, round(coalesce(similarity, 0), 9) AS similarity FROM p LEFT JOIN best USING (a, b)")
 def video_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each video against the next, by time warping over sliding windows."""
+    """Each video against the next, by time warping over windows that slide by the default step of a second."""
     short = lambda n: F.transform("frames", lambda f: F.struct(f["ts"].alias("ts"), f["hash"].alias("hash"))).alias(n)
     user = F.regexp_extract("file_path", "([0-9]+)", 1).cast("long")
     v = _videos(spark, sf_dir)
     a = v.select(F.col("file_path").alias("a"), F.col("duration").alias("duration_a"), short("frames_a"), (user + 1).alias("u"))
     b = v.select(F.col("file_path").alias("b"), F.col("duration").alias("duration_b"), short("frames_b"), user.alias("u"))
-    return frames.video_similarity(a.join(b, "u").drop("u"), step=25.0, bits=16)
+    found = frames.video_similarity(a.join(b, "u").drop("u"), SimilarityConfig().step_size, bits=16)
+    return found.withColumn("similarity", F.round("similarity", 9))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {M_FRAMES_SQL}, v AS MATERIALIZED (SELECT file_path, any_value(duration) AS d, list(struct_pack(t := ts, s := scene) ORDER BY ts, scene, hash) AS f FROM m_frames GROUP BY file_path),
+k(file_path, i, last_, kept) AS (
+  SELECT file_path, 1, f[1].t, [f[1].t] FROM v WHERE d > 0
+  UNION ALL
+  SELECT file_path, i + 1, CASE WHEN keep THEN t ELSE last_ END, CASE WHEN keep THEN list_append(kept, t) ELSE kept END
+  FROM (SELECT k.file_path, i, last_, kept, f[i + 1].t AS t, (f[i + 1].s > 0.05 AND f[i + 1].t - last_ >= 1.0::DOUBLE / 0.05::DOUBLE) OR f[i + 1].t - last_ >= d / least(ceil(d * 0.05::DOUBLE), 5) AS keep
+        FROM k JOIN v USING (file_path) WHERE i < len(f))
+)
+SELECT file_path, CASE WHEN d > 0 THEN kept ELSE [] END AS kept FROM v LEFT JOIN (SELECT k.* FROM k JOIN v USING (file_path) WHERE i = len(f)) USING (file_path)"""
+)
 def frame_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = FrameConfig(target_fps=0.05)
     return _videos(spark, sf_dir).select("file_path", F.transform(frames.kept_frames(F.col("frames"), F.col("duration"), cfg), lambda f: f["ts"]).alias("kept"))

@@ -17,7 +17,7 @@ from ..operators.frames import kept_frames, reduced_frames
 
 
 def gray_rasters(spark: SparkSession, paths: list[str], cfg: FrameConfig = FrameConfig()) -> DataFrame:
-    """(file_path, gray) by Spark's image source: luma, then the mean of each cell of the grid."""
+    """(file_path, gray) by Spark's image source: luma, then the mean of each cell of the grid. What can't be decoded has no row."""
     side = cfg.resolution
 
     @F.pandas_udf("array<double>")
@@ -35,7 +35,7 @@ def gray_rasters(spark: SparkSession, paths: list[str], cfg: FrameConfig = Frame
             out.append((cells / n).ravel())
         return pd.Series(out, dtype=object)
 
-    images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(paths)
+    images = spark.read.format("image").option("dropInvalid", "true").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").load(paths)
     i = F.col("image")
     return images.select(F.regexp_replace(i["origin"], "^file:/+", "/").alias("file_path"), shrink(i["height"], i["width"], i["nChannels"], i["data"]).alias("gray"))
 

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fotoloom.config import FrameConfig, SimilarityConfig
+from fotoloom.functions import similarity
 from fotoloom.operators import candidates, cluster, components, frames, memo, select
 
 
@@ -190,6 +192,28 @@ def test_video_similarity(spark):
     assert got == {"same": 1.0, "inside": 1.0, "none": 1.0, "half": 0.0, "zero": 0.0}
 
 
+def test_warping_against_cells(spark):
+    """Windows of random tables cell by cell, and whole videos against the column form."""
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        cost = rng.integers(0, 17, (rng.integers(1, 12), rng.integers(1, 9)))
+        lo = rng.integers(0, len(cost), 6)
+        hi = np.asarray([rng.integers(a + 1, len(cost) + 1) for a in lo])
+        for a, b, got in zip(lo, hi, frames.warped_windows(cost, lo, hi)):
+            d = np.full((b - a + 1, cost.shape[1] + 1), 10**6)
+            d[0, 0] = 0
+            for i in range(1, b - a + 1):
+                for j in range(1, cost.shape[1] + 1):
+                    d[i, j] = cost[a + i - 1, j - 1] + min(d[i - 1, j], d[i, j - 1], d[i - 1, j - 1])
+            assert got == d[-1, -1]
+    video = lambda n: [(float(i), None if rng.random() < 0.1 else int(rng.integers(0, 1 << 16))) for i in range(n)]
+    rows = [(i, 0, 5.0, 5.0, video(6), video(6)) for i in range(20)]
+    df = spark.createDataFrame(rows, "a long, b long, duration_a double, duration_b double, frames_a array<struct<ts:double,hash:bigint>>, frames_b array<struct<ts:double,hash:bigint>>")
+    known = F.transform(F.filter("frames_b", lambda f: f["hash"].isNotNull()), lambda f: f["hash"])
+    want = {r.a: r.s for r in df.select("a", similarity.dtw_similarity(known, F.transform("frames_a", lambda f: f["hash"]), 16).alias("s")).collect()}
+    assert {r.a: r.similarity for r in frames.video_similarity(df, 1.0, 16).collect()} == pytest.approx(want)
+
+
 def test_memo(spark):
     one = memo.config_hash(FrameConfig())
     assert one == memo.config_hash(FrameConfig()) != memo.config_hash(FrameConfig(resolution=32))

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from fotoloom.config import EngineConfig, TransferConfig
+from fotoloom.config import EngineConfig, SimilarityConfig, TransferConfig
 from fotoloom.plans import report, template, transfer
 from fotoloom.plans.pipeline import Media
 from fotoloom.sources import catalog, discovery, media
@@ -211,7 +211,76 @@ def test_command_line(spark, tmp_path, capsys):
         (src / name).write_bytes(png(seed))
     (src / "bad.png").write_bytes(b"no image")
     (src / "note.txt").write_bytes(b"x")
-    code = main([str(src), str(out), "-d", str(tmp_path / "dup"), "-e", str(tmp_path / "err"), "-r", "16", "-F", "{TYPE}/{NAME}{EXT}", "--debug", str(tmp_path / "report")])
+    cache = str(tmp_path / "cache")
+    code = main([str(src), str(out), "--cache", cache, "-d", str(tmp_path / "dup"), "-e", str(tmp_path / "err"), "-r", "16", "-F", "{TYPE}/{NAME}{EXT}", "--debug", str(tmp_path / "report")])
     assert code == 0 and sorted(p.name for p in (out / "Image").iterdir()) == ["a.png", "c.png"]
     assert [p.name for p in (tmp_path / "dup/a").iterdir()] == ["b.png"] and [p.name for p in (tmp_path / "err").iterdir()] == ["bad.png"]
     assert (src / "a.png").exists() and (tmp_path / "report/page=0").is_dir()
+    # a rerun reads and decodes what is new only, and comes to the same plan
+    from fotoloom import __main__ as cli
+
+    (src / "d.png").write_bytes(png(5))
+    cfg = cli.config_of(cli.parser().parse_args([str(src), str(out), "-r", "16"]))
+    seen = []
+    read, decode = cli.read_ends, cli.media.gray_rasters
+    cli.read_ends = lambda files, n: (seen.append(sorted(os.path.basename(r.file_path) for r in files.collect())), read(files, n))[1]
+    cli.media.gray_rasters = lambda s, paths, f: (seen.append(sorted(map(os.path.basename, paths))), decode(s, paths, f))[1]
+    try:
+        again = {os.path.basename(r.file_path): (r.phash, r.error) for r in cli.gathered(spark, [str(src)], cfg, None, cache).collect()}
+    finally:
+        cli.read_ends, cli.media.gray_rasters = read, decode
+    assert seen == [["d.png"], ["bad.png", "d.png"]]  # what can't be decoded is tried again
+    plain = {os.path.basename(r.file_path): (r.phash, r.error) for r in cli.gathered(spark, [str(src)], cfg).collect()}
+    assert again == plain and plain["bad.png"][1].startswith("ExternalToolError") and plain["a.png"][0] == plain["b.png"][0] is not None
+
+
+def test_unreadable_files_are_errors(spark, tmp_path):
+    (tmp_path / "ok.jpg").write_bytes(jpeg())
+    (tmp_path / "long.jpg").write_bytes(jpeg() + bytes(range(256)) * 20)
+    rows = [(str(tmp_path / n), T(2020, 1, 1)) for n in ("ok.jpg", "long.jpg", "gone.jpg")] + [(str(tmp_path), T(2020, 1, 1))]
+    df = spark.createDataFrame(rows, "file_path string, modified_at timestamp")
+    got = {os.path.basename(r.file_path): r for r in discovery.read_ends(df, 1000).collect()}
+    assert got["gone.jpg"].error.startswith("FileSystemError") and got["gone.jpg"].content_hash is None and got[tmp_path.name].error.startswith("FileSystemError")
+    assert got["ok.jpg"].error is None and got["ok.jpg"].tags["Model"] == "Cam" and got["long.jpg"].tags["Model"] == "Cam"
+    whole = discovery.file_stats(discovery.discover(spark, [str(tmp_path)], True), 1000).select("file_path", "content_hash").collect()
+    assert {os.path.basename(r.file_path): r.content_hash for r in whole} == {n: got[n].content_hash for n in ("ok.jpg", "long.jpg")}
+
+
+def test_enrich_says_what_lacks(spark):
+    files = spark.createDataFrame([("a", None), ("b", None), ("c", None), ("d", "FileSystemError: x")], "file_path string, error string")
+    metadata = spark.createDataFrame([("a", 1), ("b", 2)], "file_path string, width int")
+    hashes = spark.createDataFrame([("a", "00"), ("c", "01")], "file_path string, phash string")
+    got = {r.file_path: r.error for r in Media(files).enrich(metadata, hashes).files.collect()}
+    assert got == {"a": None, "b": "HashingError: no hash", "c": "ExternalToolError: no metadata", "d": "FileSystemError: x"}
+
+
+def test_files_at_the_target_stay(spark, tmp_path):
+    for name, data in (("x.jpg", b"new"), ("to/x.jpg", b"old one")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    plan = spark.createDataFrame([(str(tmp_path / "x.jpg"), str(tmp_path / "to/x.jpg"), "unique", "copy")], "file_path string, target string, reason string, action string")
+    (first,) = transfer.carry_out(plan, dry_run=False).collect()
+    assert first.error is None and first.target != str(tmp_path / "to/x.jpg") and open(first.target, "rb").read() == b"new" and (tmp_path / "to/x.jpg").read_bytes() == b"old one"
+    transfer.carry_out(plan, dry_run=False).collect()  # run again, it finds its own work done
+    assert len(list((tmp_path / "to").iterdir())) == 2
+    with pytest.raises(FileExistsError):
+        transfer.free_target(str(tmp_path / "x.jpg"), str(tmp_path / "to/x.jpg"), 0)
+
+
+def test_sets_by_full_similarity(spark):
+    from fotoloom.operators.dispatch import media_sets, media_similarity
+
+    f = lambda hs: [(float(i), h) for i, h in enumerate(hs)]
+    a, b, c = 0x1111222233334444, 0x5555666677778888, 0x0F0F0F0F0F0F0F0F
+    rows = [
+        ("img1", a, False, 0.0, None), ("img2", a, False, 0.0, []), ("img3", a ^ 1, False, 0.0, None),
+        ("vid1", a, True, 3.0, f([a, b, c])), ("vid2", a ^ 2, True, 3.0, f([a ^ 2, b, c])), ("vid3", a, True, 3.0, f([a, c, a])), ("vid4", b, True, 3.0, f([b, b, b])), ("vid5", b, True, 3.0, f([b, b, b])), ("none", None, False, 0.0, None),
+    ]
+    df = spark.createDataFrame(rows, "file_path string, bits long, is_video boolean, duration double, frames array<struct<ts:double,hash:bigint>>")
+    df = df.withColumn("phash", F.lower(F.lpad(F.hex("bits"), 16, "0"))).withColumn("phash", F.when(F.col("bits").isNotNull(), F.col("phash")))
+    pairs = spark.createDataFrame([("img1", "img3"), ("img1", "vid1"), ("vid1", "vid2"), ("vid1", "vid3")], "a string, b string")
+    got = {(r.a, r.b): (r.similarity, r.threshold) for r in media_similarity(pairs, df, SimilarityConfig()).collect()}
+    assert got[("img1", "img3")] == (63 / 64, 0.99) and got[("img1", "vid1")] == (1.0, 0.93) and got[("vid1", "vid2")][0] == pytest.approx(1 - 1 / 192) and got[("vid1", "vid3")][0] < 0.93
+    # an image that is a frame of both ties videos together that are not alike; images of a bit's difference are not similar
+    sets = {r.file_path: r.set_id for r in media_sets(df, SimilarityConfig()).collect()}
+    assert sets == {n: "img1" for n in ("img1", "img2", "img3", "vid1", "vid2", "vid3")} | {"vid4": "vid4", "vid5": "vid4"}
