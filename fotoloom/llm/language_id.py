@@ -57,8 +57,8 @@ class LanguageConfig:
     windows: int = 16
     window: int = 64
     hidden: int = 12
-    steps: int = 300
-    batch: int = 64
+    steps: int = 160
+    batch: int = 128
     rate: float = 0.02
     seed: int = 5
 
