@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import FrameConfig, SimilarityConfig, TransferConfig
-from .functions import metadata, paths, phash, similarity
-from .operators import candidates, cluster, components, frames, memo, select
+from .functions import bits, metadata, paths, phash, similarity
+from .operators import candidates, cluster, components, dispatch, frames, memo, select
 from .plans import report, template, transfer
+from .plans.pipeline import Media
 from .plans.views import DISTANCE_SQL, M_FILES_SQL, M_FRAMES_SQL, M_NEAR_SQL, SCORE_SQL, m_files, m_frames, m_hash, m_near, table
 from .sources import catalog, discovery
 from .staging import stage
@@ -573,4 +574,162 @@ def error_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("file_path", F.when(F.col("error").isNull(), "valid").otherwise("error").alias("route"), "error")
 
 
+# --- conversions, guards and orders --------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md5(coalesce(text, '')) END AS hex FROM documents")
+def hex_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text to bytes and back; odd lengths and other characters are null."""
+    word = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    given = F.when(F.col("doc_id") % 3 == 0, F.upper(word)).when(F.col("doc_id") % 3 == 1, F.substring(word, 1, 7)).otherwise(F.concat(F.lit("zz"), word))
+    return table(spark, sf_dir, "documents").select("doc_id", bits.to_hex(bits.from_hex(given)).alias("hex"))
+
+
+@query(
+    f"""WITH {M_NEAR_SQL}, f AS (SELECT *, phash[1] = '0' AS gone FROM m_near), q AS (SELECT * FROM m_near WHERE file_path = 'v/IMG_0.mp4')
+SELECT p.file_path, CASE WHEN p.gone THEN 0.0::DOUBLE ELSE 1 - ({DISTANCE_SQL}) / 64.0::DOUBLE END AS similarity,
+1 - (bit_count(xor(p.b1, q.b1)) + bit_count(xor(p.b2, q.b2)) + bit_count(p.b3) + bit_count(p.b4)) / 64.0::DOUBLE AS to_shorter,
+greatest(0.0::DOUBLE, 1 - (bit_count(xor(p.b1, q.b1)) + bit_count(xor(p.b2, q.b2)) + bit_count(p.b3) + bit_count(p.b4)) / 32.0::DOUBLE) AS from_shorter FROM f p, q"""
+)
+def image_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file against one: by numbers, where a missing hash gives 0, and by bytes of unequal length, where the first's length counts."""
+    f = m_near(spark, sf_dir)
+    one = f.where("file_path = 'v/IMG_0.mp4'").select(F.col("bits").alias("q"), F.unhex(F.substring("phash", 1, 8)).alias("short"))
+    both, own = f.join(F.broadcast(one)), F.unhex("phash")
+    given = F.when(~F.col("phash").startswith("0"), F.col("bits"))
+    return both.select("file_path", similarity.image_similarity(given, F.col("q")).alias("similarity"), similarity.image_similarity_binary(own, F.col("short")).alias("to_shorter"), similarity.image_similarity_binary(F.col("short"), own).alias("from_shorter"))
+
+
+@query(
+    f"""WITH {M_NEAR_SQL} SELECT file_path, md5(file_path) AS content_hash, size, width, height, duration, image_date, CASE WHEN size % 3 <> 0 THEN phash END AS phash,
+CASE WHEN size % 3 <> 0 THEN phash[1:4] END AS lsh_key1, CASE WHEN size % 3 <> 0 THEN 1 ELSE 0 END AS n_frames FROM m_near"""
+)
+def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Infos to catalog rows and back: of the frames the first is kept, if there is any."""
+    seen = F.array(F.struct(F.unhex("phash").alias("hash"), F.lit(0.0).alias("timestamp")), F.struct(F.unhex(F.reverse("phash")).alias("hash"), F.lit(1.0).alias("timestamp")))
+    infos = m_near(spark, sf_dir).withColumn("content_hash", F.unhex(F.md5("file_path"))).withColumn("modified_at", F.col("created_at"))
+    rows = catalog.to_rows(infos.withColumn("frames", F.when(F.col("size") % 3 != 0, seen).otherwise(F.slice(seen, 1, 0))).drop("phash"))
+    back = catalog.to_infos(rows).join(rows.select("file_path", "lsh_key1"), "file_path")
+    return back.select("file_path", bits.to_hex(F.col("content_hash")).alias("content_hash"), "size", "width", "height", "duration", "image_date", bits.to_hex(F.get(F.col("frames"), F.lit(0))["hash"]).alias("phash"), "lsh_key1", F.size("frames").alias("n_frames"))
+
+
+@query(
+    f"""WITH RECURSIVE {M_NEAR_SQL}, {SETS_SQL}, {ROLES_SQL}, bad AS (SELECT DISTINCT set_id FROM roles WHERE size % 13 = 0 AND set_id IS NOT NULL)
+SELECT file_path, r.set_id, CASE WHEN b.set_id IS NOT NULL THEN 'error' ELSE role END AS role FROM roles r LEFT JOIN bad b ON r.set_id = b.set_id"""
+)
+def error_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set in which a file failed is not settled: its members have the role error."""
+    files = stage(m_near(spark, sf_dir), "files")[0]
+    sets = stage(cluster.duplicate_sets(files, SimilarityConfig()), "sets")[0]
+    return select.roles(files, sets, SimilarityConfig(), files.where("size % 13 = 0")).select("file_path", "set_id", "role")
+
+
+SOME_SQL = f"m_some AS (SELECT * FROM m_near WHERE size % 5 <> 0), {SETS_SQL.replace('m_near', 'm_some')}"
+
+
+@query(f"WITH RECURSIVE {M_NEAR_SQL}, {SOME_SQL} SELECT m.file_path, s.set_id, s.set_id IS NULL AS is_unique FROM m_near m LEFT JOIN sets s USING (file_path)")
+def files_without_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that have no hash are in no set and unique."""
+    lost = F.col("size") % 5 == 0
+    files = stage(m_near(spark, sf_dir).withColumn("bits", F.when(~lost, F.col("bits"))).withColumn("phash", F.when(~lost, F.col("phash"))), "files")[0]
+    placed = select.roles(files, stage(cluster.duplicate_sets(files, SimilarityConfig()), "sets")[0], SimilarityConfig())
+    return placed.select("file_path", "set_id", (F.col("role") == "unique").alias("is_unique"))
+
+
+@query(f"WITH {M_FILES_SQL} SELECT file_path, 'bad/' || regexp_extract(file_path, '([^/]*)$', 1) AS target, 'error' AS reason, 'move' AS action FROM m_files WHERE error IS NOT NULL")
+def error_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with an error go to the error folder by their names."""
+    none = m_near(spark, sf_dir).limit(0)
+    placed = none.select("file_path", *[F.lit(None).cast(t).alias(c) for c, t in (("set_id", "string"), ("role", "string"), ("rank", "int"))])
+    return transfer.transfer_plan(none, placed, TransferConfig(error_dir="bad", move=True), m_files(spark, sf_dir).where("error IS NOT NULL"))
+
+
+@query(
+    f"""WITH RECURSIVE {M_NEAR_SQL}, {SETS_SQL}, {ROLES_SQL}, d AS (SELECT * FROM roles WHERE role = 'duplicate')
+SELECT count(*) > 0 AS with_any, (SELECT count(*) > 0 FROM d) AS duplicates_with_folder, false AS duplicates_without, true AS errors_with_folder FROM roles WHERE role IN ('unique', 'representative')"""
+)
+def transfer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a transfer has anything to do, for all files, for duplicates with and without a folder, and for errors."""
+    placed = stage(_roles(spark, sf_dir)[1], "roles")[0]
+    spare, bad = placed.where("role = 'duplicate'"), placed.select("file_path")
+    gates = [transfer.anything_to_do(placed, TransferConfig()), transfer.anything_to_do(spare, TransferConfig(duplicate_dir="d")), transfer.anything_to_do(spare, TransferConfig()), transfer.anything_to_do(placed.limit(0), TransferConfig(error_dir="e"), bad)]
+    return spark.createDataFrame([tuple(gates)], "with_any boolean, duplicates_with_folder boolean, duplicates_without boolean, errors_with_folder boolean")
+
+
+@query(
+    f"""WITH RECURSIVE {M_NEAR_SQL}, {SETS_SQL}, {ROLES_SQL}, n AS (SELECT set_id, row_number() OVER (ORDER BY set_id) - 1 AS set_no FROM (SELECT DISTINCT set_id FROM roles WHERE set_id IS NOT NULL))
+SELECT set_no, rank::INTEGER AS place, file_path, role FROM roles JOIN n USING (set_id)"""
+)
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of the report in the order of their ids, members by score."""
+    return report.report_rows(stage(_roles(spark, sf_dir)[1], "roles")[0]).select("set_no", "place", "file_path", "role")
+
+
+@query(
+    f"""WITH {M_NEAR_SQL}, r AS (SELECT file_path, size, substr(md5(file_path || '|0'), 1, 8) AS rnd, {STEM_SQL} AS stem, {DOT_SQL} AS dot FROM m_near)
+SELECT 'cleaned' AS template, file_path, 'library/' || rnd || '/M_' || size || '_x/' || stem || '_' || rnd || dot AS target FROM r
+UNION ALL SELECT 'inner', file_path, 'library/a/b/M' || size || '/c/' || regexp_extract(file_path, '([^/]*)$', 1) FROM r
+UNION ALL SELECT 'empty', file_path, 'library/NoDate/' || regexp_extract(file_path, '([^/]*)$', 1) FROM r"""
+)
+def template_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd characters of values, slashes of all kinds, random parts and nothing at all."""
+    f, out = m_near(spark, sf_dir), None
+    size = F.col("size").cast("string")
+    models = {"cleaned": F.concat(F.lit("M:"), size, F.lit("|x")), "inner": F.concat(F.lit("M"), size, F.lit("//c/")), "empty": F.lit("")}
+    for name, text in {"cleaned": "/{RND}//{CAM}/{NAME}_{RND}{EXT}", "inner": "a\\/b//{CAM}", "empty": "//{CAM}/"}.items():
+        part = f.withColumn("camera_model", models[name]).select(F.lit(name).alias("template"), "file_path", template.compile_template(text, "library").alias("target"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    f"""WITH {M_FILES_SQL} SELECT file_path, CASE WHEN error IS NOT NULL THEN error WHEN doc_id % 3 = 0 THEN 'ExternalToolError: no metadata' WHEN doc_id % 4 = 0 THEN 'HashingError: no hash' END AS error FROM m_files"""
+)
+def first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the errors of reading, describing and hashing a file the first counts."""
+    f = m_files(spark, sf_dir)
+    done = Media(f.select("file_path", "error")).enrich(f.where("doc_id % 3 <> 0").select("file_path"), f.where("doc_id % 4 <> 0").select("file_path"))
+    return done.files.select("file_path", "error")
+
+
+@query(
+    f"""WITH {M_FILES_SQL} SELECT file_path || '|' || size AS key, CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 <> 0 THEN 'kept ' || doc_id ELSE md5(text) END AS value, NOT (doc_id % 5 <> 0 AND doc_id % 3 <> 0) AS is_new FROM m_files"""
+)
+def memo_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results kept under the same configuration are used; the others are made and are the new entries."""
+    f = m_files(spark, sf_dir)
+    key = F.concat_ws("|", "file_path", F.col("size").cast("string"))
+    now, old = memo.config_hash(FrameConfig(), ("resolution",)), memo.config_hash(FrameConfig(resolution=32), ("resolution",))
+    wanted = f.select(F.lit("hash").alias("job"), key.alias("key"), F.lit(now).alias("config_hash"), "content")
+    kept = f.where("doc_id % 5 <> 0").select(F.lit("hash").alias("job"), key.alias("key"), F.when(F.col("doc_id") % 3 == 0, old).otherwise(now).alias("config_hash"), F.concat(F.lit("kept "), F.col("doc_id").cast("string")).alias("value"), F.lit(1).alias("seq"))
+    every, fresh = memo.memoize(wanted, kept, lambda missing: missing.withColumn("value", F.md5("content")))
+    return every.join(fresh.select("key", F.lit(True).alias("made")), "key", "left").select("key", "value", F.coalesce("made", F.lit(False)).alias("is_new"))
+
+
+# users whose number divides by 3 are images, the others videos; hashes count as 64 bits wide
+DISPATCH_SQL = VIDEO_SQL.replace("), 16)", "), 64)").replace("/ 16.0::DOUBLE", "/ 64.0::DOUBLE").replace("ON b.u = a.u + 1)", "ON b.u = a.u + 1 WHERE a.u % 3 <> 0 AND b.u % 3 <> 0)")
+
+
+@query(
+    f"""WITH RECURSIVE {DISPATCH_SQL}
+SELECT a, b, round(coalesce(similarity, 0), 9) AS similarity, 0.93::DOUBLE AS threshold FROM p LEFT JOIN best USING (a, b)
+UNION ALL
+SELECT i.file_path, o.file_path, round(list_max(list_transform(o.sh, lambda h: 1 - bit_count(xor(i.sh[1], h)) / 64.0::DOUBLE)), 9), 0.93::DOUBLE FROM v i JOIN v o ON o.u = i.u + 1 WHERE i.u % 3 = 0
+UNION ALL
+SELECT o.file_path, i.file_path, round(list_max(list_transform(o.sh, lambda h: 1 - bit_count(xor(i.sh[1], h)) / 64.0::DOUBLE)), 9), 0.93::DOUBLE FROM v o JOIN v i ON i.u = o.u + 1 WHERE i.u % 3 = 0
+UNION ALL
+SELECT i.file_path, o.file_path, round(1 - bit_count(xor(i.sh[1], o.sh[1])) / 64.0::DOUBLE, 9), 0.99::DOUBLE FROM v i JOIN v o ON o.u = i.u + 3 WHERE i.u % 3 = 0"""
+)
+def media_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any two media: images by hash, image and video by the best frame, videos by time warping."""
+    u = F.regexp_extract("file_path", "([0-9]+)", 1).cast("long")
+    known = F.filter("frames", lambda f: f["hash"].isNotNull())
+    v = _videos(spark, sf_dir).withColumn("u", u).withColumn("is_video", F.col("u") % 3 != 0)
+    files = stage(v.select("u", "file_path", "is_video", F.get(known, F.lit(0))["hash"].alias("bits"), "duration", F.when(F.col("is_video"), F.col("frames")).alias("frames")), "media")[0]
+    a, b = files.select("u", F.col("file_path").alias("a"), F.col("is_video").alias("va")), files.select(F.col("u").alias("w"), F.col("file_path").alias("b"), F.col("is_video").alias("vb"))
+    pairs = a.join(b, F.col("w") == F.col("u") + 1).select("a", "b").union(a.join(b, F.col("w") == F.col("u") + 3).where("NOT va").select("a", "b"))
+    found = dispatch.media_similarity(pairs, files, SimilarityConfig())
+    return found.withColumn("similarity", F.round("similarity", 9))
+
+
 FLAGSHIP = dedup_roles
