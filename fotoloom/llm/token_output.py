@@ -46,7 +46,7 @@ class OutputConfig:
     per_shard: int = 8192
     key: int = 20240229
     end_of_text: int = 50256
-    rounds: int = 4
+    rounds: int = 8
 
     @property
     def stride(self) -> int:
