@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SimilarityConfig
+from ..staging import stage
 from .candidates import near_hash_pairs
 from .components import components
 
@@ -51,39 +52,73 @@ def similar_pairs(files: DataFrame, cfg: SimilarityConfig) -> DataFrame:
     return every.where(F.col("distance") <= bound).select("a", "b", "distance")
 
 
-def greedy_stars(pairs: DataFrame) -> DataFrame:
+def shown_groups(files: DataFrame) -> DataFrame:
+    """(bits, is_video, head, size): files of one hash and type have the same neighbours, each other among them; ``head`` is the smallest path."""
+    return files.where("bits IS NOT NULL").groupBy("bits", "is_video").agg(F.min("file_path").alias("head"), F.count("*").alias("size"))
+
+
+def group_pairs(files: DataFrame, cfg: SimilarityConfig) -> tuple[DataFrame, DataFrame]:
+    """The groups and the pairs (a, b) of heads that are similar: as many as there are different hashes, however many files have one."""
+    groups = stage(shown_groups(files), "shown")[0]
+    heads = groups.select(F.col("head").alias("file_path"), "bits", "is_video")
+    return groups, stage(similar_pairs(heads, cfg).select("a", "b"), "head-pairs")[0]
+
+
+def _members(files: DataFrame, groups: DataFrame) -> DataFrame:
+    return files.where("bits IS NOT NULL").select("file_path", "bits", "is_video").join(groups, ["bits", "is_video"]).select("file_path", "head", "size")
+
+
+def greedy_stars(pairs: DataFrame, several: DataFrame | None = None) -> DataFrame:
     """(set_id, file_path) by the order-dependent rule: in the order of paths, a file not yet in a set
     takes all its neighbours not yet in one. Stars never leave their component, so components are
-    independent; each must fit one task."""
+    independent; each must fit one task.
+
+    ``several`` (file_path): heads that stand for more than one file, and so make a set even without a neighbour.
+    """
     labels = components(pairs.select("a", "b"))
-    rows = pairs.join(labels.select(F.col("id").alias("a"), "label"), "a").select("label", "a", "b")
+    edges = pairs.select("a", "b")
+    if several is not None:
+        edges = edges.unionByName(several.select(F.col("file_path").alias("a"), F.col("file_path").alias("b")))
+    rows = edges.join(labels.select(F.col("id").alias("a"), "label"), "a", "left").select(F.coalesce("label", "a").alias("label"), "a", "b")
 
     def stars(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
+        near: dict[str, set[str]] = {}
         for a, b in zip(pdf["a"], pdf["b"]):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
         taken, out = set(), []
         for f in sorted(near):
-            if f not in taken:
-                members = [f, *sorted(x for x in set(near[f]) if x not in taken)]
-                if len(members) > 1:
-                    taken.update(members)
-                    out += [(f, m) for m in members]
+            free = [x for x in near[f] if x not in taken]  # with f itself, if it stands for several
+            if f not in taken and free:
+                taken.update(free, [f])
+                out += [(f, m) for m in sorted({f, *free})]
         return pd.DataFrame(out, columns=["set_id", "file_path"])
 
     return rows.groupBy("label").applyInPandas(stars, "set_id string, file_path string")
 
 
-def dbscan(pairs: DataFrame, min_points: int = 2) -> DataFrame:
+def star_sets(files: DataFrame, cfg: SimilarityConfig) -> DataFrame:
+    """(set_id, file_path): greedy stars of files. A star takes all files of a group or none, and the first free file in the
+    order of paths is always a head; so stars of heads are stars of files."""
+    groups, pairs = group_pairs(files, cfg)
+    stars = greedy_stars(pairs, groups.where("size > 1").select(F.col("head").alias("file_path")))
+    return _members(files, groups).join(stars.withColumnRenamed("file_path", "head"), "head").select("set_id", "file_path")
+
+
+def dbscan(pairs: DataFrame, min_points: int = 2, sizes: DataFrame | None = None) -> DataFrame:
     """(file_path, cluster_id, is_core) from symmetric neighbour pairs (a < b); noise is not returned.
 
     A file is a core if it and its neighbours are at least ``min_points``. Cores that are neighbours share a
     cluster; other files join the cluster of their smallest core neighbour. With two points
-    this is connected components.
+    this is connected components. ``sizes`` (file_path, size): how many files a head stands for, itself included.
     """
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    cores = both.groupBy("a").count().where(F.col("count") + 1 >= min_points).select("a")
+    if sizes is None:
+        cores = both.groupBy("a").count().where(F.col("count") + 1 >= min_points).select("a")
+    else:
+        around = both.join(sizes.select(F.col("file_path").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("others"))
+        own = sizes.select(F.col("file_path").alias("a"), "size").join(around, "a", "left")
+        cores = stage(own.where(F.col("size") + F.coalesce("others", F.lit(0)) >= min_points).select("a"), "cores")[0]
     near_cores = both.join(cores, "a", "left_semi")
     core_edges = near_cores.join(cores.withColumnRenamed("a", "b"), "b", "left_semi")
     labels = components(core_edges)
@@ -91,3 +126,10 @@ def dbscan(pairs: DataFrame, min_points: int = 2) -> DataFrame:
     border = near_cores.join(cores.withColumnRenamed("a", "b"), "b", "left_anti")
     edge = border.groupBy("b").agg(F.min("a").alias("a")).join(core, "a").select(F.col("b").alias("file_path"), F.col("label").alias("cluster_id"), F.lit(False).alias("is_core"))
     return core.select(F.col("a").alias("file_path"), F.col("label").alias("cluster_id"), F.lit(True).alias("is_core")).union(edge)
+
+
+def density_clusters(files: DataFrame, cfg: SimilarityConfig, min_points: int = 2) -> DataFrame:
+    """(file_path, cluster_id, is_core): ``dbscan`` of files, on heads that count for all files of their group."""
+    groups, pairs = group_pairs(files, cfg)
+    found = dbscan(pairs, min_points, groups.select(F.col("head").alias("file_path"), "size"))
+    return _members(files, groups).join(found.withColumnRenamed("file_path", "head"), "head").select("file_path", "cluster_id", "is_core")

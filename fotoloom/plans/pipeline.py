@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.bits import hex_to_long
-from ..operators.cluster import duplicate_sets, greedy_stars, similar_pairs
+from ..operators.cluster import duplicate_sets, star_sets
 from ..operators.dispatch import media_sets
 from ..operators.select import roles, summary
 from ..sources.discovery import discover, file_stats
@@ -50,7 +50,7 @@ class Media:
     def deduplicate(self) -> Deduplicated:
         cfg = self.config.similarity
         if cfg.cluster_mode == "greedy_star":
-            sets = greedy_stars(similar_pairs(self.valid, cfg)).select("file_path", "set_id")
+            sets = star_sets(self.valid, cfg).select("file_path", "set_id")
         elif "frames" in self.files.columns:
             sets = media_sets(self.valid, cfg)
         else:

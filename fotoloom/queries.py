@@ -255,7 +255,7 @@ g(i, taken, members) AS (
 SELECT members[1] AS set_id, unnest(members) AS file_path FROM g WHERE len(members) > 0"""
 )
 def clusters_greedy_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.greedy_stars(cluster.similar_pairs(m_near(spark, sf_dir), SimilarityConfig()))
+    return cluster.star_sets(stage(m_near(spark, sf_dir), "files")[0], SimilarityConfig())
 
 
 @query(
@@ -266,7 +266,7 @@ SELECT f AS file_path, cluster_id, true AS is_core FROM own
 UNION ALL SELECT b, cluster_id, false FROM (SELECT b, min(a) AS a FROM e WHERE a IN (FROM cores) AND b NOT IN (FROM cores) GROUP BY b) x JOIN own ON own.f = x.a"""
 )
 def clusters_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.dbscan(cluster.similar_pairs(m_near(spark, sf_dir), SimilarityConfig()), 3)
+    return cluster.density_clusters(stage(m_near(spark, sf_dir), "files")[0], SimilarityConfig(), 3)
 
 
 @query(

@@ -164,6 +164,20 @@ def test_greedy_and_density(spark):
         assert set(four) == {f for f in near if f in cores or near[f] & cores}
 
 
+def test_groups_stand_for_their_files(spark):
+    """Stars and density clusters of files against the same rules on all pairs, with large groups of one hash."""
+    r = random.Random(4)
+    base = [r.getrandbits(62) for _ in range(5)]
+    hashes_ = [b ^ (1 << i) if i else b for b in base for i in range(3)]
+    rows = [(f"f{i:03}", r.choice(hashes_[:3] if i % 2 else hashes_), r.random() < 0.4) for i in range(70)] + [("z1", None, False), ("z0", 5, False)]
+    df = spark.createDataFrame(rows, "file_path string, bits long, is_video boolean")
+    cfg = SimilarityConfig(image=0.99, image_video=0.98, video=0.95, candidates="all_pairs")
+    pairs = cluster.similar_pairs(df, cfg)
+    assert sorted(map(tuple, cluster.star_sets(df, cfg).collect())) == sorted(map(tuple, cluster.greedy_stars(pairs).collect()))
+    for points in (2, 6, 20):
+        assert sorted(map(tuple, cluster.density_clusters(df, cfg, points).collect())) == sorted(map(tuple, cluster.dbscan(pairs, points).collect()))
+
+
 def test_frames_in_range(spark):
     df = spark.createDataFrame([([(float(i), i) for i in range(5)],)], "f array<struct<ts:double,hash:bigint>>")
     got = df.select(frames.frames_in_range(F.col("f"), F.lit(1.0), F.lit(3.0))).first()[0]
