@@ -48,10 +48,9 @@ SCHEMA = (
 
 #: What begins a stretch that is no text: a comment, a declaration, or an element whose content isn't shown.
 _HIDDEN = re.compile(r"<(?:(!--)|(!)|(script|style|noscript|template|head)(?![\w-]))", re.I)
-_TAG = re.compile(r"<(/?[A-Za-z][^\s/>]*)")
-_BREAKS = frozenset(
-    "address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul".split()
-)
+_BREAKS = "address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul".split()
+#: A tag: of a block element (1), the start of a title or link (2), or any other. Only for text that ends with ``>``, where every try finds its end.
+_TAG = re.compile(rf"<(?:/?({'|'.join(_BREAKS)})(?=[\s/>])|(title|a)(?=[\s/>])|/?[A-Za-z])[^>]*>", re.I)
 _BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 _TITLE_END = re.compile(r"</title\s*>", re.I)
@@ -107,34 +106,25 @@ def _closing(name: str) -> re.Pattern:
     return re.compile(rf"</{name}\s*>", re.I)
 
 
-def _tags(page: str):
-    """(name, start, end) of the tags of a page; what no > follows is none."""
-    ahead, at = _Ahead(page), 0
-    while m := _TAG.search(page, at):
-        end = ahead.find(">", m.end())[1]
-        if end < 0:
-            return
-        yield m[1].lower(), m.start(), end
-        at = end
-
-
 def plain_text(page: str) -> str:
     """The readable text of an HTML page: no comments, scripts or head; block elements end lines."""
-    s, out, kept = _shown(page.replace("\n", " ")), [], 0
-    for name, start, end in _tags(s):
-        out += [s[kept:start], "\n" if name.lstrip("/") in _BREAKS else ""]
-        kept = end
-    return _LINES.sub("\n", _BLANK.sub(" ", html.unescape("".join(out) + s[kept:]))).strip()
+    s = _shown(page.replace("\n", " "))
+    end = s.rfind(">") + 1
+    text = _TAG.sub(lambda m: "\n" if m[1] else "", s[:end]) + s[end:]
+    return _LINES.sub("\n", _BLANK.sub(" ", html.unescape(text))).strip()
 
 
 def title_and_links(page: str) -> tuple[str, list[str]]:
     title, links = None, []
-    for name, start, end in _tags(page):
-        if name == "title" and title is None:
-            closed = _TITLE_END.search(page, end)
-            title = page[end : closed.start()] if closed else ""
-        elif name == "a" and (m := _HREF.search(page, start, end)):
-            links.append("".join(x or "" for x in m.groups()))
+    for m in _TAG.finditer(page[: page.rfind(">") + 1]):
+        if m[2] is None:
+            continue
+        if len(m[2]) == 1:
+            if href := _HREF.search(page, m.start(), m.end()):
+                links.append("".join(x or "" for x in href.groups()))
+        elif title is None:
+            closed = _TITLE_END.search(page, m.end())
+            title = page[m.end() : closed.start()] if closed else ""
     tidy = lambda x: " ".join(html.unescape(x).split())
     return tidy(title or ""), [tidy(x) for x in links]
 
