@@ -69,21 +69,36 @@ def near_hash_pairs(hashes: DataFrame, max_distance: int, mode: str = "pigeonhol
 
 #: Beyond this distance block keys are so short that most rows share one with most others.
 MAX_KEYED_DISTANCE = 6
+#: Up to this one, keys of 16 bits are probed with all masks of up to a quarter of the distance.
+MAX_PROBED_DISTANCE = 15
+
+
+def _masks(radius: int, width: int = 16) -> list[int]:
+    """All numbers of ``width`` bits of which at most ``radius`` are set."""
+    return [sum(1 << i for i in chosen) for k in range(radius + 1) for chosen in combinations(range(width), k)]
+
+
+def _quarters(bits: Column) -> Column:
+    """The four 16-bit blocks of a hash, each with its number before it."""
+    return F.array(*[F.shiftrightunsigned(bits, 16 * i).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(i << 16)) for i in range(4)])
 
 
 def range_search(queries: DataFrame, files: DataFrame, max_distance: int) -> DataFrame:
     """(query_id, file_path, distance) of all files within the distance of each query, itself included.
 
-    Both sides have (file_path, bits). A distance of 0 finds equal hashes. Small distances are joined on block keys; for larger
-    ones the queries, a stated set, are held against all files in blocks.
+    Both sides have (file_path, bits). A distance of 0 finds equal hashes. Small distances are joined on block keys. For larger
+    ones two hashes within distance d differ in at most d / 4 bits of one of four 16-bit blocks, so the queries, a stated set, are
+    sent out once for each such change of each block, and a file four times.
     """
-    q = queries.select(F.col("file_path").alias("query_id"), F.col("bits").alias("q")).where("q IS NOT NULL")
-    f = files.select("file_path", F.col("bits").alias("p")).where("p IS NOT NULL")
-    close = hamming(F.col("q"), F.col("p"))
-    if max_distance > MAX_KEYED_DISTANCE:
-        return in_blocks(f, q, "query_id", close <= max_distance).select("query_id", "file_path", close.alias("distance"))
-    keys = lambda c: F.explode(F.array_distinct(block_keys(F.col(c), max_distance))).alias("key")
-    found = q.select("query_id", "q", keys("q")).join(f.select("file_path", "p", keys("p")), "key").withColumn("distance", close)
+    q, f = queries.select(F.col("file_path").alias("query_id"), F.col("bits").alias("q")), files.select("file_path", F.col("bits").alias("p"))
+    if MAX_KEYED_DISTANCE < max_distance <= MAX_PROBED_DISTANCE:
+        probes = q.withColumn("block", F.explode(_quarters(F.col("q")))).withColumn("mask", F.explode(F.lit(_masks(max_distance // 4))))
+        left = probes.select("query_id", "q", F.col("block").bitwiseXOR(F.col("mask")).alias("key"))
+        right = f.withColumn("key", F.explode(_quarters(F.col("p"))))
+    else:
+        keys = lambda c: F.explode(F.array_distinct(block_keys(F.col(c), max_distance))).alias("key")
+        left, right = q.select("query_id", "q", keys("q")), f.select("file_path", "p", keys("p"))
+    found = left.join(right, "key").withColumn("distance", hamming(F.col("q"), F.col("p")))
     return found.where(F.col("distance") <= max_distance).select("query_id", "file_path", "distance").distinct()
 
 
