@@ -15,7 +15,7 @@ fallback such a run counts as its UTF-8 bytes if the vocabulary has all of them.
 
 Since stretches are independent, their counts are kept in a memo bounded by bytes (a task's own, dropped with it), and a text
 costs one look-up for most of its words. A long stretch without a space is read in one pass that
-remembers only as many positions as the longest piece has characters.
+holds three numbers for each of its characters.
 
 Defined results: null and empty texts have 0 tokens; repeated rows are counted each
 for itself; only doc_id and text are read, other columns don't matter.
@@ -26,6 +26,7 @@ travels with the function; its size is that of the tokenizer, not of the data.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import ahocorasick
@@ -66,45 +67,38 @@ class Counter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), float(score), i == vocabulary.unk_id))
         self.automaton.make_automaton()
-        self.longest = max((len(p) for p, _ in vocabulary.pieces), default=1)
         self.unknown = min((s for _, s in vocabulary.pieces), default=0.0) - UNKNOWN_PENALTY
         names = {p for p, _ in vocabulary.pieces}
         self.bytes = {b for b in range(256) if f"<0x{b:02X}>" in names} if vocabulary.byte_fallback else set()
 
     def pieces(self, s: str) -> int:
         """The number of pieces on the best path through ``s``."""
-        if not s:
-            return 0
-        # score, count and start of the unknown run (or -1) at each of the last positions, by position modulo their number
-        keep = self.longest + 1
-        best, count, run = [0.0] * keep, [0] * keep, [-1] * keep
-        # an unknown run is counted from the count at its start
-        before = [0] * keep
-        matches = self.automaton.iter(s)
-        last, found = next(matches, (len(s), None))
-        for end in range(1, len(s) + 1):
-            arcs = []
+        n = len(s)
+        # score and count of the best path to each position, and one more than where the unknown run that ends it starts
+        best, count, run = array("d", bytes(8 * n + 8)), array("q", bytes(8 * n + 8)), array("q", bytes(8 * n + 8))
+        matches = self.automaton.iter(s)  # by their ends, at one end the longest first
+        last, found = next(matches, (n, None))
+        for end in range(1, n + 1):
+            top, single = None, False
             while last == end - 1:
                 size, score, is_unk = found
-                arcs.append((end - size, score, is_unk))
-                last, found = next(matches, (len(s), None))
-            # every prefix can be reached: where no one-character piece does, a single unknown character does
-            if not any(start == end - 1 for start, _, _ in arcs):
-                arcs.append((end - 1, self.unknown, True))
-            arcs.sort()
-            top = None
-            for start, score, is_unk in arcs:
-                total = score + best[start % keep]
+                total = score + best[end - size]
+                if top is None or total > top:
+                    top, came, unk = total, end - size, is_unk
+                single = single or size == 1
+                last, found = next(matches, (n, None))
+            if not single:  # every prefix can be reached: where no one-character piece does, a single unknown character does
+                total = self.unknown + best[end - 1]
                 if top is None or total > top:
-                    top, came, unk = total, start, is_unk
-            at, came_at = end % keep, came % keep
+                    top, came, unk = total, end - 1, True
+            best[end] = top
             if unk:
-                first, base = (run[came_at], before[came_at]) if run[came_at] >= 0 else (came, count[came_at])
-                n = base + self._unknown_run(s, first, end, came, count[came_at] - base if first != came else 0)
-                best[at], count[at], run[at], before[at] = top, n, first, base
+                first = run[came] - 1 if run[came] else came
+                run[end] = first + 1
+                count[end] = count[first] + self._unknown_run(s, first, end, came, count[came] - count[first])
             else:
-                best[at], count[at], run[at] = top, count[came_at] + 1, -1
-        return count[len(s) % keep]
+                count[end] = count[came] + 1
+        return count[n]
 
     def _unknown_run(self, s: str, first: int, end: int, came: int, had: int) -> int:
         """The pieces of the unknown run ``s[first:end]``, of which ``s[first:came]`` made ``had``."""
