@@ -280,30 +280,69 @@ def hot_pairs(hot: DataFrame, cfg: JoinConfig) -> DataFrame:
     return met.select(F.least("gid", "lead.gid").alias("a"), F.greatest("gid", "lead.gid").alias("b")).distinct()
 
 
-def unfinished_pairs(members: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """Pairs (a, b) of sets in one list (token, cid, n, pos) that fit but are in different components (comp).
+_DEALT = ("token", "pair", "i", "j", "side", "cid", "n", "pos", "comp")
+
 
-    Lists within one component are dropped before anything is dealt out. Of the others each is cut into blocks
-    of about ``block_rows``, and a task compares two blocks, however long the list is.
+def dealt_members(members: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """Rows (token, pair, i, j, side, cid, n, pos, comp): the members of lists (token, cid, n, pos, comp), sent where a partner may be.
+
+    Lists within one component are dropped first. One of up to ``block_rows`` is one place. Of a longer list a row is
+    sent by what it fits: ``most = floor(7 (n - pos) / 3) - n`` is the largest partner it can link to, and two rows fit
+    when each one's size is within the other's ``most``. Rows with alike sizes and ``most`` are a cell, a component with
+    more than ``block_rows`` rows of a list has cells of its own, and only cells meet that hold a fitting pair of
+    different components, as far as their extremes say; of these the rows that fit the other cell. Cells that
+    meet and are large are cut into blocks of about ``block_rows``, which compare what has to be compared anyhow.
     """
-    by_list = members.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size"))
-    apart = stage(by_list.where("least <> most").select("token", F.ceil(F.col("size") / cfg.block_rows).cast("int").alias("blocks")), "lists-apart")[0]
-    rest = members.join(bounded_broadcast(apart, 1_000_000), "token").withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rest.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "n", "pos", "comp")
-    names = ("token", "i", "j", "side", "cid", "n", "pos", "comp")
+    by_list = members.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("greatest"), F.count("*").alias("size"))
+    apart = stage(by_list.where("least <> greatest").select("token", "size"), "lists-apart")[0]
+    of = lambda lists: members.join(bounded_broadcast(lists.select("token"), 1_000_000), "token")
+    whole = of(apart.where(F.col("size") <= cfg.block_rows)).select("token", F.lit(0).cast("long").alias("pair"), *(F.lit(0).alias(c) for c in _DEALT[2:5]), *_DEALT[5:])
+    longer = apart.where(F.col("size") > cfg.block_rows)
+    if longer.isEmpty():
+        return whole
+    rows = of(longer).withColumn("most", F.floor(7 * (F.col("n") - F.col("pos")) / 3) - F.col("n")).where("4 * most >= 3 * n")
+    counted = rows.groupBy("token", "comp").agg(F.count("*").alias("size")).where(F.col("size") > cfg.block_rows)
+    large = bounded_broadcast(stage(counted.select("token", "comp", F.col("comp").alias("of")), "large-components")[0], 1_000_000)
+    rows = rows.join(large, ["token", "comp"], "left")
+    step = lambda c: F.floor(16 * F.log(c) / F.log(F.lit(1.4))).cast("int")
+    cell = F.struct(F.col("of").isNull().alias("mixed"), F.coalesce("of", F.lit(0)).alias("of"), step(F.col("n")).alias("n"), step(F.col("most")).alias("most"))
+    rows = rows.select("token", "cid", "n", "pos", "comp", "most", cell.alias("cell"))
+    extremes = [F.min("n").alias("smallest"), F.max("most").alias("most"), F.min("comp").alias("least"), F.max("comp").alias("greatest"), F.ceil(F.count("*") / cfg.block_rows).cast("int").alias("blocks")]
+    cells = stage(rows.groupBy("token", "cell").agg(*extremes).withColumn("band", F.floor(F.col("cell.n") / 16)), "cells")[0]
+    # sizes that fit differ by a factor of 4 / 3 at most, so by one band
+    x, y = cells.withColumn("near", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1))))).alias("x"), cells.alias("y")
+    fits = (F.col("x.smallest") <= F.col("y.most")) & (F.col("y.smallest") <= F.col("x.most"))
+    differ = F.least("x.least", "y.least") != F.greatest("x.greatest", "y.greatest")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("near") == F.col("y.band")) & (F.col("x.cell") <= F.col("y.cell")) & fits & differ)
+    way = lambda own, other, side: met.select(
+        F.col(f"{own}.token").alias("token"), F.col(f"{own}.cell").alias("cell"), F.lit(side).alias("side"), F.xxhash64("x.cell", "y.cell").alias("pair"), (F.col("x.cell") == F.col("y.cell")).alias("same"),
+        F.col(f"{own}.blocks").alias("blocks"), *(F.col(f"{other}.{c}").alias(f"other_{c}") for c in ("smallest", "most", "least", "greatest", "blocks")),
+    )
+    ways = stage(way("x", "y", 0).union(way("y", "x", 1).where("NOT same")), "cells-met")[0]
+    sent = rows.join(bounded_broadcast(ways, 1_000_000), ["token", "cell"])
+    sent = sent.where("other_smallest <= most AND n <= other_most AND NOT (other_least = comp AND other_greatest = comp)")
+    sent = sent.withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+    first = F.when(F.col("same"), F.least("own", "other")).when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
+    # below 0: a block of another cell, so that only two sides of one cell's block are the same rows
+    second = F.when(F.col("same"), F.greatest("own", "other")).when(F.col("side") == 0, -1 - F.col("other")).otherwise(-1 - F.col("own"))
+    side = F.when(F.col("same"), (F.col("own") > F.col("other")).cast("int")).otherwise(F.col("side"))
+    return whole.union(sent.select("token", "pair", first.alias("i"), second.alias("j"), side.alias("side"), *_DEALT[5:]))
+
+
+def unfinished_pairs(members: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """Pairs (a, b) of sets in one list (token, cid, n, pos) that fit but are in different components (comp)."""
 
     def pack(found):
         both = np.unique(np.concatenate(found), axis=0)  # lists of one passage have the same members
         return pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
     def stream(batches):
-        for cols in _list_stream(batches, names, 3):
-            token, i, j = cols[:3]
+        for cols in _list_stream(batches, _DEALT, 4):
+            i, j = cols[2:4]
             found, size = [], 0
-            begins = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-            for lo, hi in zip(begins, np.append(begins[1:], len(token))):
-                side, c, n, pos, comps = (x[lo:hi] for x in cols[3:])
+            begins = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)]))
+            for lo, hi in zip(begins, np.append(begins[1:], len(i))):
+                side, c, n, pos, comps = (x[lo:hi] for x in cols[4:])
                 if (comps == comps[0]).all():
                     continue
                 same_block = i[lo] == j[lo]
@@ -328,7 +367,8 @@ def unfinished_pairs(members: DataFrame, cfg: JoinConfig) -> DataFrame:
             if found:
                 yield pack(found)
 
-    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(stream, _PAIR).distinct()
+    place = _DEALT[:4]
+    return dealt_members(members, cfg).repartition(*place).sortWithinPartitions(*place).mapInArrow(stream, _PAIR).distinct()
 
 
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from fotoloom.operators.components import components
-from fotoloom.llm.jaccard_join import JoinConfig, drop_near_duplicates, near_duplicate_components
+from fotoloom.llm.jaccard_join import JoinConfig, drop_near_duplicates, near_duplicate_components, need, unfinished_pairs
 
 
 def shingles(t):
@@ -108,3 +108,57 @@ def test_empty(spark):
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {(r.id, r.label) for r in components(edges).collect()} == {(i, 1) for i in range(1, 41)} | {(100, 100), (101, 100)}
+
+
+MEMBERS = "token long, cid long, n long, pos int, comp long"
+
+
+def fitting(rows):
+    by, out = {}, set()
+    for token, cid, n, pos, comp in rows:
+        by.setdefault(token, []).append((cid, n, pos, comp))
+    for m in by.values():
+        for i, (c, n, p, k) in enumerate(m):
+            out |= {(min(c, d), max(c, d)) for d, o, q, e in m[:i] if k != e and need(n, o) <= min(n - p, o - q)}
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [3, 20, 1000])
+def test_second_round_misses_no_pair(spark, block_rows):
+    r = random.Random(block_rows)
+    rows = []
+    for token, size in ((1, 150), (2, 80), (3, 21), (4, 2)):
+        for cid in r.sample(range(-300, 300), size):
+            n = r.choice([r.randint(1, 12), r.randint(13, 60), r.randint(61, 400), 100])
+            rows.append((token, cid, n, r.randint(0, n // 4), r.choice([cid, 7, 7, -8])))
+    # sizes and places at the very edge of what fits
+    rows += [(5, i, n, p, i) for i, (n, p) in enumerate([(75, 0), (100, 25), (76, 1), (99, 24), (56, 8), (56, 7), (3, 0), (4, 1), (1, 0), (2, 0)])]
+    got = [tuple(x) for x in unfinished_pairs(spark.createDataFrame(rows, MEMBERS).repartition(3), JoinConfig(block_rows=block_rows)).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == fitting(rows)
+
+
+def shuffled(plan):
+    """The rows that the shuffles of an executed plan have written."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return shuffled(plan.executedPlan())
+    if "QueryStage" in name:
+        return shuffled(plan.plan())
+    found = plan.metrics().get("shuffleRecordsWritten")
+    children = plan.children()
+    return (found.get().value() if name == "Exchange" and found.isDefined() else 0) + sum(shuffled(children.apply(i)) for i in range(children.size()))
+
+
+def test_second_round_grows_with_its_pairs(spark):
+    """A crowd in one component and loners in its list, few of which fit: rows are not sent to every block of the list."""
+    sent = []
+    for k in (1, 4):
+        crowd = [(1, i, 100, 10, 0) for i in range(400 * k)]
+        loners = [(1, 10_000 + i, 101, 15, 10_000 + i) for i in range(400 * k)]
+        few = [(1, 20_000 + i, 100 + i, 12, 20_000 + i) for i in range(2)]
+        df = unfinished_pairs(spark.createDataFrame(crowd + loners + few, MEMBERS), JoinConfig(block_rows=16))
+        pairs = {tuple(x) for x in df.collect()}
+        assert pairs == fitting(crowd + few) and 0 < len(pairs) <= 2 * len(crowd) + 1
+        sent.append(shuffled(df._jdf.queryExecution().executedPlan()))
+    assert sent[0] <= 4 * 800 and sent[1] <= 5 * sent[0]
